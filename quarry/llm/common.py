@@ -85,5 +85,16 @@ def write_bytes(path: str, data: bytes) -> None:
     system.move(tmp, p)
 
 
+def read_bytes(path: str) -> bytes:
+    if (p := local_path(path)) is not None:
+        with open(p, "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    system, p = fs.FileSystem.from_uri(path)
+    with system.open_input_file(p) as f:
+        return f.read()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

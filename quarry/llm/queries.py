@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, secrets, toxicity
+from . import decontaminate, langid, media, mixing, secrets, toxicity, warc
 from .common import read_table
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.store_texts(read_table(spark, sf_dir, "documents")))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages")).drop("url")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("evidence")
 
@@ -34,6 +42,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_mix_sources": op3_mix_sources,
     "op5_secret_scan": op5_secret_scan,
+    "op7_media_columns": op7_media_columns,
+    "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
