@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, media, mixing, secrets, toxicity, warc
+from . import decontaminate, langid, media, minhash, mixing, secrets, toxicity, warc
 from .common import read_table
 
 
@@ -26,6 +26,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(read_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -39,6 +43,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_dart_minhash": op1_dart_minhash,
     "op2_language_id": op2_language_id,
     "op3_mix_sources": op3_mix_sources,
     "op5_secret_scan": op5_secret_scan,
