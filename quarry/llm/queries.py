@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, media, minhash, mixing, secrets, toxicity, warc
+from . import decontaminate, langid, lm, media, minhash, mixing, secrets, toxicity, warc
 from .common import read_table
 
 
@@ -38,6 +38,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).drop("draws", "source")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dart_minhash": op1_dart_minhash,
     "op2_language_id": op2_language_id,
     "op3_mix_sources": op3_mix_sources,
+    "op4_lm_score": op4_lm_score,
     "op5_secret_scan": op5_secret_scan,
     "op7_media_columns": op7_media_columns,
     "op8_warc": op8_warc,
