@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, lm, media, minhash, mixing, secrets, toxicity, warc
+from . import decontaminate, langid, lm, media, minhash, mixing, repeats, secrets, toxicity, warc
 from .common import read_table
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store_texts(read_table(spark, sf_dir, "documents")))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_lm_score": op4_lm_score,
     "op5_secret_scan": op5_secret_scan,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_media_columns": op7_media_columns,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
