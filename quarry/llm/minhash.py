@@ -251,11 +251,14 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return got.where(F.col("i") >= threshold * (F.col("n") - F.col("i")) - 1e-9).select("a", "b")
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class: that with the smallest doc_id. Documents without doc_id stay unless
-    a copy has one; columns stay as they are."""
+def deduplicate(docs: DataFrame, max_broadcast: int = 2_000_000, **options) -> DataFrame:
+    """One document of each class: that with the smallest doc_id (one row of it). Rows without doc_id
+    stay; columns stay as they are."""
     found = classes(docs.select("doc_id", "text"), **options)
-    ids = settle(found.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct(), "minhash-kept")
-    total = ids.count()
-    kept = docs.join(F.broadcast(ids) if total <= 2_000_000 else ids, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if total != kept.select("doc_id").count() else kept
+    ids = settle(found.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").count(), "minhash-kept")
+    total, again = ids.agg(F.count(F.lit(1)), F.max("count")).first()
+    ids = ids.select(F.col("doc_id").alias("__kept"))
+    kept = docs.join(F.broadcast(ids) if total <= max_broadcast else ids, F.col("doc_id") == F.col("__kept"), "left_semi")
+    if (again or 0) > 1:
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
