@@ -32,7 +32,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text worked on together; bigrams merged before they are sent.
-CHUNK, BATCH = 1 << 20, 3_000_000
+CHUNK, BATCH = 1 << 18, 1_500_000
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ from .common import fresh_path, local_path, read_bytes, settle, write_bytes
 
 U = np.uint64
 #: Bytes of corpus for each shard.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
 _rng = np.random.Generator(np.random.PCG64(20240117))
 #: A random 64-bit number for each byte, and an odd multiplier with its inverse.
 BYTE = _rng.integers(0, 2**64, 256, np.uint64)
@@ -144,7 +144,8 @@ def merge(messages: DataFrame, kinds: list[str], n_shards: int, finish: Callable
     from pyspark.sql.types import _parse_datatype_string
 
     out_schema = to_arrow_schema(_parse_datatype_string(result))
-    done = messages.repartition(n_shards, "shard").sortWithinPartitions("shard").mapInArrow(task, result)
+    # a shard is a task's work
+    done = messages.repartitionById(n_shards, "shard").sortWithinPartitions("shard").mapInArrow(task, result)
     return path, settle(done, f"{name}-rows")
 
 
