@@ -39,7 +39,7 @@ from .sorted_arrays import BASE, BYTE, U, Arrays, merge, mix, powers, runs, shar
 
 LENGTH, TRIGGER = 100, 32
 #: Bytes worked on together, longest stretch of one text, rows merged before they are sent.
-CHUNK, PIECE, BATCH = 1 << 18, 1 << 20, 2_000_000
+CHUNK, PIECE, BATCH = 1 << 18, 1 << 20, 1_000_000
 _LOW = (1 << 24) - 1
 _TOP = np.iinfo(np.uint64).max
 
