@@ -48,6 +48,12 @@ def item_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     )
 
 
+def let(value: Column, body) -> Column:
+    """body of value, computed once: a filter would else have the value's expression at every place, also inside
+    the lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _anchor(words: Column, i: Column, k: int) -> Column:
     return F.xxhash64(*[F.get(words, i + F.lit(j)) for j in range(k)])
 
@@ -134,12 +140,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
         raise ValueError(f"unknown mode {mode!r}")
     known = WindowSet(benchmark, n, max_windows)
     if known.small and mode == "document":
-        return docs.where(F.size(known.spans(words_of(text_or_empty()))) == 0)
+        return docs.where(let(words_of(text_or_empty()), lambda w: F.size(known.spans(w))) == 0)
     if known.small:
-        return docs.withColumn("text", _cut(F.col("text"), known.spans(words_of(text_or_empty()))))
+        return docs.withColumn("text", let(let(words_of(text_or_empty()), known.spans), lambda s: _cut(F.col("text"), s)))
     # Too many windows for the plan: hits come from a join, keyed by the text itself.
     key = [F.xxhash64(text_or_empty()).alias("__k1"), F.xxhash64(F.lit(1), text_or_empty()).alias("__k2")]
-    each = docs.select(*key, F.explode(known.candidates(words_of(text_or_empty()))).alias("x"))
+    each = docs.select(*key, F.explode(let(words_of(text_or_empty()), known.candidates)).alias("x"))
     hits = each.join(known.table.select(F.col("gram").alias("__gram")), F.col("x.gram") == F.col("__gram"), "left_semi")
     keyed = docs.select("*", *key)
     if mode == "document":
