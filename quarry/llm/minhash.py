@@ -9,13 +9,15 @@ sets; for the others t doubles until it does. Equal values of a coordinate have
 probability of the weighted Jaccard similarity.
 
 Joining. Documents with equal words collapse first, by hash, so groups of copies of any size
-count once. k coordinates make ``bands`` keys of ``rows`` coordinates. Within a key's bucket
-documents are not paired with each other but with hubs: one hub in the first round, then a
-few for each bucket, chosen among those not in the bucket's largest class. A hub is checked
-against all members of other classes, then leaves the bucket, so nothing is lost, and a
-bucket is done when what remains is of one class: near copies need a hub or two however many
-they are. A bucket that keeps many classes (a shared passage, not copies) is split by a
-second band after ``rounds`` rounds, and so on; pairs above the threshold share many bands.
+count once. k coordinates make ``bands`` keys of ``rows`` coordinates. Of the documents that
+share a key, shingles that no other has are counted: they bound every similarity from above,
+which rules out documents and pairs exactly. Within a key's bucket documents are not paired
+with each other but with hubs: one in the first round, then ``hubs`` and four times as many in each
+further one, chosen among those not in the bucket's largest class, first those with the
+smallest share of shingles of their own (the original before its edited copies). A hub is
+checked against all members of other classes, then leaves the bucket, so nothing is lost, and
+a bucket is done when what remains is of one class: near copies need a hub or two however
+many they are.
 
 Pairs are confirmed by the exact similarity of their sets of five-word shingles, and classes
 are the connected components. Nothing is capped. All tables between rounds are written to
@@ -132,9 +134,9 @@ def _bands(bands: int, rows: int, weighting: str):
             words = lists.flatten().to_numpy().view(np.uint64)
             keys = np.zeros((len(lists), bands), np.uint64)
             a = 0
-            while a < len(lists):  # about two million darts at a time
+            while a < len(lists):  # some hundred thousand darts at a time
                 base = ends[a - 1] if a else 0
-                z = max(a + 1, min(a + max(1, 300_000 // k), int(np.searchsorted(ends, base + 1_000_000, side="right"))))
+                z = max(a + 1, min(a + max(1, 100_000 // k), int(np.searchsorted(ends, base + 300_000, side="right"))))
                 e, s = shingles(words[base : ends[z - 1]], ends[a:z] - base)
                 w = np.ones(len(e))
                 if weighting == "count":
@@ -151,11 +153,12 @@ def _bands(bands: int, rows: int, weighting: str):
     return run
 
 
-def _priority(v: str = "v") -> Column:
-    return F.struct(F.xxhash64(v, F.lit(99)).alias("p"), F.col(v).alias("v"))
+def _small(df: DataFrame, limit: int) -> DataFrame:
+    """df (a written table), marked for broadcast if it is counted to have at most limit rows."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", max_broadcast: int = 100_000) -> DataFrame:
     """(v, c) for every vertex of edges (a, b): c is the smallest vertex of its component. Each round
     hooks components to their smallest neighbour, follows two pointers, and contracts the edges."""
     both = settle(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
@@ -163,16 +166,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while not both.isEmpty():
         ends = both.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(both.select(F.col("b").alias("v"), F.col("a").alias("u")))
         hook = settle(ends.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("c")), name)
+        up = _small(hook.select(F.col("v").alias("c"), F.col("c").alias("up")), max_broadcast)
         for _ in range(2):
-            up = hook.select(F.col("v").alias("c"), F.col("c").alias("up"))
-            hook = settle(hook.join(up, "c", "left").select("v", F.coalesce("up", "c").alias("c")), name)
+            hook = hook.join(up, "c", "left").select("v", F.coalesce("up", "c").alias("c"))
+        hook = settle(hook, name)
         if labels is None:
             labels = hook
         else:
-            moved = hook.select(F.col("v").alias("c"), F.col("c").alias("to"))
+            moved = _small(hook.select(F.col("v").alias("c"), F.col("c").alias("to")), max_broadcast)
             labels = settle(labels.join(moved, "c", "left").select("v", F.coalesce("to", "c").alias("c")), name)
-        to = hook.select(F.col("v").alias("a"), F.col("c").alias("ca"))
-        there = hook.select(F.col("v").alias("b"), F.col("c").alias("cb"))
+        to = _small(hook.select(F.col("v").alias("a"), F.col("c").alias("ca")), max_broadcast)
+        there = _small(hook.select(F.col("v").alias("b"), F.col("c").alias("cb")), max_broadcast)
         next_ = both.join(to, "a").join(there, "b").where("ca != cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
         both = settle(next_.distinct(), name)
     if labels is None:
@@ -180,8 +184,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return labels
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, weighting: str = "set",
-            hubs: int = 16, rounds: int = 2, max_broadcast: int = 2_000_000) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, weighting: str = "set", hubs: int = 16, max_broadcast: int = 100_000) -> DataFrame:
     """doc_id and class_id of every document. weighting: "set" compares sets of shingles; "count" weighs
     each shingle by its number of occurrences (weighted Jaccard)."""
     if weighting not in ("set", "count"):
@@ -191,16 +194,12 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: i
     signed = settle(wh.mapInArrow(_bands(bands, rows, weighting), "doc_id long, h1 long, h2 long, n long, bands array<long>"), "minhash-signed")
     reps = settle(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("v"), F.min("n").alias("n"), F.min_by("bands", "doc_id").alias("bands")), "minhash-texts")
     known = reps.where(F.col("v").isNotNull() & (F.col("n") > 0))
+    each = known.select("v", F.posexplode("bands").alias("band", "value")).select("v", F.xxhash64("band", "value").alias("key"))
+    several = each.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    members = settle(each.join(several, "key"), "minhash-members")
 
-    each = known.select("v", F.posexplode("bands").alias("band", "value")).select("v", "band", F.xxhash64("band", "value").alias("key"))
-    first = each.groupBy("key").agg(F.min(_priority()).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.col("h.v").alias("hub"))
-    members = settle(each.join(first, "key"), "minhash-members")
-    pairs = members.where("v != hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
-    left = members.where("v != hub").select("v", "band", "key")
-
-    ids = settle(members.select("v").distinct(), "minhash-candidates")
-    if ids.count() <= max_broadcast:
-        ids = F.broadcast(ids)
+    # the exact sets of those who share a bucket, and of how many shingles no other of them has
+    ids = _small(settle(members.select("v").distinct(), "minhash-candidates"), 20 * max_broadcast)  # a number each
     size = F.size("w")
     text = docs.select(F.col("doc_id").cast("long").alias("v"), text_or_empty().alias("text")).join(ids, "v").select("v", word_hashes(F.col("text")).alias("w"))
     sets = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - F.lit(SHINGLE - 1))), lambda i: F.hash(F.slice("w", i, SHINGLE)))
@@ -208,35 +207,37 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: i
         sets = F.sort_array(sets)
         sets = F.transform(sets, lambda h, i: F.hash(h, i - F.array_position(sets, h).cast("int")))
     sets = settle(text.select("v", F.array_distinct(sets).alias("s")), "minhash-sets")
-
-    edges, tried = None, 0
+    own = sets.select("v", F.explode("s").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("v")).where("m = 1")
+    own = own.groupBy("v").agg(F.count(F.lit(1)).alias("own"))
+    info = sets.select("v", F.size("s").alias("n")).join(own, "v", "left").select("v", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+    # what is its own can't be shared: a set with less than the threshold in common has no partner
+    info = settle(info.where(F.col("common") >= threshold * F.col("n") - 1e-9).groupBy("v").agg(F.max("n").alias("n"), F.max("common").alias("common")), "minhash-info")
+    left = members.join(_small(info, max_broadcast), "v")
+    labels = info.select("v", F.col("v").alias("c"))
+
+    slots = 1
     while True:
-        tried += 1
-        new = settle(_confirm(pairs, sets, threshold), "minhash-edges")
-        edges = new if edges is None else edges.unionByName(new)
-        labels = components(edges)
-        left = left.join(labels.select("v", "c"), "v", "left").select("v", "band", "key", F.coalesce("c", "v").alias("c"))
-        left = settle(left, "minhash-left")
-        per = left.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-        per = per.groupBy("key").agg(F.max_by("c", "m").alias("top"), F.count(F.lit(1)).alias("n_classes"), (F.sum("m") - F.max("m")).alias("out")).where("n_classes > 1")
-        per = settle(per, "minhash-open")
-        if per.isEmpty():
+        here = left.join(_small(labels, max_broadcast), "v")
+        per = here.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("c", "m").alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "top")
+        here = settle(here.join(per, "key"), "minhash-open")
+        if here.isEmpty():
             break
-        here = left.join(per, "key")
-        if tried > rounds:
-            wide = here.where(F.col("out") > 4 * hubs)
-            split = wide.join(known.select("v", "bands"), "v").select("v", "c", "key", F.col("band").alias("b0"), F.posexplode("bands").alias("band", "value")).where("band > b0")
-            split = split.select("v", "c", "band", F.xxhash64("key", "band", "value").alias("key"))
-            here = here.where(F.col("out") <= 4 * hubs).select("v", "c", "band", "key").unionByName(split)
-            per = here.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("c", "m").alias("top"), F.count(F.lit(1)).alias("n_classes")).where("n_classes > 1")
-            here = here.join(per, "key")
-        here = settle(here.select("v", "c", "band", "key", "top"), "minhash-here")
-        chosen = here.where("c != top").groupBy("key", F.pmod(F.xxhash64("v", F.lit(tried)), F.lit(hubs)).alias("slot")).agg(F.min(_priority()).alias("h"), F.min_by("c", _priority()).alias("hc"))
-        chosen = settle(chosen.select("key", F.col("h.v").alias("hub"), "hc"), "minhash-hubs")
-        pairs = here.join(chosen, "key").where("c != hc").select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
-        left = here.select("v", "band", "key").join(chosen.select("key", F.col("hub").alias("v")), ["key", "v"], "left_anti")
-
-    named = reps.join(labels, "v", "left").select("h1", "h2", F.coalesce("c", "v").alias("class_id"))
+        outside = here.where("c != top") if slots > 1 else here
+        chosen = outside.groupBy("key", F.pmod(F.xxhash64("v", F.lit(slots)), F.lit(slots)).alias("slot")).agg(F.min(F.struct((1 - F.col("common") / F.col("n")).alias("p"), F.xxhash64("v", F.lit(99)).alias("q"), "v", "c", "n", "common")).alias("h"))
+        chosen = settle(chosen.select("key", F.col("h.v").alias("hub"), F.col("h.c").alias("hc"), F.col("h.n").alias("hn"), F.col("h.common").alias("hcommon")), "minhash-hubs")
+        possible = F.least("common", "hcommon") * (1 + threshold) >= threshold * (F.col("n") + F.col("hn")) - 1e-9
+        met = here.join(chosen, "key").where((F.col("c") != F.col("hc")) & possible)
+        pairs = settle(met.select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct(), "minhash-pairs")
+        new = _confirm(pairs, sets, threshold)
+        to, there = labels.select(F.col("v").alias("a"), F.col("c").alias("ca")), labels.select(F.col("v").alias("b"), F.col("c").alias("cb"))
+        joined = components(new.join(_small(to, max_broadcast), "a").join(_small(there, max_broadcast), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")), max_broadcast=max_broadcast)
+        moved = joined.select(F.col("v").alias("c"), F.col("c").alias("to"))
+        labels = settle(labels.join(_small(moved, max_broadcast), "c", "left").select("v", F.coalesce("to", "c").alias("c")), "minhash-labels")
+        gone = chosen.select("key", F.col("hub").alias("v"))
+        left = here.select("key", "v", "n", "common").join(_small(gone, max_broadcast), ["key", "v"], "left_anti")
+        slots = hubs if slots == 1 else 4 * slots
+
+    named = reps.join(_small(labels, max_broadcast), "v", "left").select("h1", "h2", F.coalesce("c", "v").alias("class_id"))
     return signed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "class_id")
 
 
