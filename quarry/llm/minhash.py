@@ -11,7 +11,9 @@ probability of the weighted Jaccard similarity.
 Joining. Documents with equal words collapse first, by hash, so groups of copies of any size
 count once. k coordinates make ``bands`` keys of ``rows`` coordinates. Of the documents that
 share a key, shingles that no other has are counted: they bound every similarity from above,
-which rules out documents and pairs exactly. Within a key's bucket documents are not paired
+which rules out documents and pairs exactly. So does a parity map of each set: every shingle
+flips one of 512 bits, so two maps differ in at most as many bits as the sets do in shingles
+(the bitmap filter of exact set similarity joins). Within a key's bucket documents are not paired
 with each other but with hubs: one in the first round, then ``hubs`` and four times as many in each
 further one, chosen among those not in the bucket's largest class, first those with the
 smallest share of shingles of their own (the original before its edited copies). A hub is
@@ -34,6 +36,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,7 @@ from .common import TOKEN, ascii_lower, settle, text_or_empty
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
+MAPS = [f"p{i}" for i in range(8)]  # 64 bits each of the parity map
 _U = np.uint64
 _CDF = np.array([int(sum(math.exp(-1) / math.factorial(j) for j in range(n + 1)) * 2**32) for n in range(13)], np.uint64)
 
@@ -211,7 +216,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: i
     own = own.groupBy("v").agg(F.count(F.lit(1)).alias("own"))
     info = sets.select("v", F.size("s").alias("n")).join(own, "v", "left").select("v", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
     # what is its own can't be shared: a set with less than the threshold in common has no partner
-    info = settle(info.where(F.col("common") >= threshold * F.col("n") - 1e-9).groupBy("v").agg(F.max("n").alias("n"), F.max("common").alias("common")), "minhash-info")
+    info = info.where(F.col("common") >= threshold * F.col("n") - 1e-9).groupBy("v").agg(F.min("n").alias("n"), F.max("common").alias("common"), F.count(F.lit(1)).alias("texts"))
+    info = info.join(_parity(sets), "v").select("v", "n", "common", *(F.when(F.col("texts") == 1, F.col(p)).alias(p) for p in MAPS))
+    info = settle(info, "minhash-info")
     left = members.join(_small(info, max_broadcast), "v")
     labels = info.select("v", F.col("v").alias("c"))
 
@@ -223,9 +230,11 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: i
         if here.isEmpty():
             break
         outside = here.where("c != top") if slots > 1 else here
-        chosen = outside.groupBy("key", F.pmod(F.xxhash64("v", F.lit(slots)), F.lit(slots)).alias("slot")).agg(F.min(F.struct((1 - F.col("common") / F.col("n")).alias("p"), F.xxhash64("v", F.lit(99)).alias("q"), "v", "c", "n", "common")).alias("h"))
-        chosen = settle(chosen.select("key", F.col("h.v").alias("hub"), F.col("h.c").alias("hc"), F.col("h.n").alias("hn"), F.col("h.common").alias("hcommon")), "minhash-hubs")
+        chosen = outside.groupBy("key", F.pmod(F.xxhash64("v", F.lit(slots)), F.lit(slots)).alias("slot")).agg(F.min(F.struct((1 - F.col("common") / F.col("n")).alias("p"), F.xxhash64("v", F.lit(99)).alias("q"), "v", "c", "n", "common", *MAPS)).alias("h"))
+        chosen = settle(chosen.select("key", F.col("h.v").alias("hub"), F.col("h.c").alias("hc"), F.col("h.n").alias("hn"), F.col("h.common").alias("hcommon"), *(F.col(f"h.{p}").alias(f"h{p}") for p in MAPS)), "minhash-hubs")
         possible = F.least("common", "hcommon") * (1 + threshold) >= threshold * (F.col("n") + F.col("hn")) - 1e-9
+        differ = reduce(add, (F.bit_count(F.col(p).bitwiseXOR(F.col(f"h{p}"))) for p in MAPS))
+        possible &= F.coalesce(differ * (1 + threshold) <= (1 - threshold) * (F.col("n") + F.col("hn")) + 1e-9, F.lit(True))
         met = here.join(chosen, "key").where((F.col("c") != F.col("hc")) & possible)
         pairs = settle(met.select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct(), "minhash-pairs")
         new = _confirm(pairs, sets, threshold)
@@ -234,13 +243,20 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: i
         moved = joined.select(F.col("v").alias("c"), F.col("c").alias("to"))
         labels = settle(labels.join(_small(moved, max_broadcast), "c", "left").select("v", F.coalesce("to", "c").alias("c")), "minhash-labels")
         gone = chosen.select("key", F.col("hub").alias("v"))
-        left = here.select("key", "v", "n", "common").join(_small(gone, max_broadcast), ["key", "v"], "left_anti")
+        left = here.select("key", "v", "n", "common", *MAPS).join(_small(gone, max_broadcast), ["key", "v"], "left_anti")
         slots = hubs if slots == 1 else 4 * slots
 
     named = reps.join(_small(labels, max_broadcast), "v", "left").select("h1", "h2", F.coalesce("c", "v").alias("class_id"))
     return signed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "class_id")
 
 
+def _parity(sets: DataFrame) -> DataFrame:
+    """v and its set's parity map. Of a v with several sets the maps add up and mean nothing."""
+    bits = sets.select("v", F.explode("s").alias("e")).select("v", F.xxhash64("e").alias("e"))
+    word, bit = F.col("e").bitwiseAND(7), F.expr("shiftleft(1L, int(shiftright(e, 3) & 63))")
+    return bits.groupBy("v").agg(*(F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(p) for i, p in enumerate(MAPS)))
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sets' similarity reaches threshold."""
     one, two = sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
