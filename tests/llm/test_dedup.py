@@ -57,6 +57,26 @@ def test_deduplicate(docs, rows, no_docs):
     assert minhash.deduplicate(no_docs).count() == 0
 
 
+def test_parity_maps_differ_by_no_more_than_the_sets(spark):
+    r = np.random.Generator(np.random.PCG64(2))
+    sets = [sorted({int(x) for x in r.integers(-500, 500, n)}) for n in (1, 30, 200, 400, 400)]
+    sets.append([*sets[3][5:], 1001, 1002])
+    got = minhash._parity(spark.createDataFrame(list(enumerate(sets)), "v long, s array<int>")).collect()
+    maps = {x.v: [x[p] & (2**64 - 1) for p in minhash.MAPS] for x in got}
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        differ, true = sum((x ^ y).bit_count() for x, y in zip(maps[a], maps[b], strict=True)), len(set(sets[a]) ^ set(sets[b]))
+        assert differ <= true and (differ - true) % 2 == 0
+    assert sum((x ^ y).bit_count() for x, y in zip(maps[3], maps[5], strict=True)) > 0
+
+
+def test_several_texts_of_one_document(spark):
+    """A short text's link holds beside a long text of the same doc_id."""
+    long, short = " ".join(f"l{i}" for i in range(400)), " ".join(f"s{i}" for i in range(60))
+    rows = [(1, long), (1, short), (2, short + " more"), (3, long + " more")]
+    got = minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.class_id) for x in got} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     r = np.random.Generator(np.random.PCG64(1))
     e = r.integers(0, 2**64, 300, np.uint64)
