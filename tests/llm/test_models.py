@@ -119,6 +119,28 @@ def test_restoration():
         assert r.restore(clean) == clean
 
 
+def characters(*more):
+    tri = collections.Counter()
+    for w in ["idiot", "clown", "trash", "moron", "stupid", "scum", "disgusting", "loser", "pathetic", "you", "are", "the", "that", "worthless", *more]:
+        x = f"  {w} "
+        for i in range(len(x) - 2):
+            tri[x[i : i + 3]] += 5
+    return toxicity.CharModel(tri)
+
+
+def test_restoration_beside_any_symbol():
+    """Symbols and digits first, inner and last, after punctuation, and as items of a spaced run."""
+    r = toxicity.Restorer(characters())
+    forms = {"i d ! o t": "idiot", "i-d-!-o-t": "idiot", "! d ! o t": "idiot", "w o r t h l e $ $": "worthless", "worthle$$": "worthless", "idi07": "idiot", '"1diot"': '"idiot"', "(1diot)": "(idiot)", "x,$cum!": "x,scum!", "|oser": "loser", "idio+": "idiot", "tras#": "trash", "*1d10t*": "*idiot*", "_i_d_i_o_t_": "_idiot_"}
+    for seen, want in forms.items():
+        assert r.restore(f"you {seen}") == f"you {want}"
+    assert toxicity.Restorer(characters("ass")).restore("you a55") == "you ass"
+    for clean in ("covid19 (the #the that!", "1 2 3 4", "$ $ $ $"):
+        assert r.restore(clean) == clean
+    r = toxicity.Restorer(characters(), ["idiot", "worthless", "trash", "scum", "loser"])
+    assert all(r.found(f"you {seen}") == toxicity.words(want) - {"x"} for seen, want in forms.items())
+
+
 def test_toxicity_edges(spark, docs, no_docs, rows):
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1), (3, None), (999, 1)], "doc_id long, toxic int")
     got = toxicity.score(docs, labels)
