@@ -141,6 +141,15 @@ def test_restoration_beside_any_symbol():
     assert all(r.found(f"you {seen}") == toxicity.words(want) - {"x"} for seen, want in forms.items())
 
 
+def test_restoration_of_long_stretches():
+    """A sentence spelt letter by letter, letters repeated at length, and one long token are read whole."""
+    r = toxicity.Restorer(characters())
+    said = " ".join("stupidworthlessidiot" * 3)
+    assert len(said) > 80 and r.restore(said) == " ".join(["stupid worthless idiot"] * 3)
+    assert r.restore("idi" + "o" * 60 + "t") == "idiot"
+    assert r.restore("wor7hless" * 9) == "worthless" * 9
+
+
 def test_toxicity_edges(spark, docs, no_docs, rows):
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1), (3, None), (999, 1)], "doc_id long, toxic int")
     got = toxicity.score(docs, labels)
