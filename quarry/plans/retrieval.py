@@ -278,14 +278,14 @@ def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def diversify_run(how: str) -> Run:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rerank.diversify(result_rows(spark, sf_dir).where(F.col("rank") <= 20), how).select("query_id", "id", "position", F.round("diversity_score", 9).alias("diversity_score"))
+        return rerank.diversify(result_rows(spark, sf_dir), how).select("query_id", "id", "position", F.round("diversity_score", 9).alias("diversity_score"))
 
     return run
 
 
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole result chain over the best 20 of each query (a top-k report)."""
-    out = results.process(result_rows(spark, sf_dir).where(F.col("rank") <= 20))
+    """The whole result chain over each query's results, of which quality_filter keeps the first 100 as the reference does."""
+    out = results.process(result_rows(spark, sf_dir))
     return out.select("query_id", "id", "rank", F.round("final_score", 9).alias("final_score"), F.size("snippets").alias("n_snippets"), F.element_at(F.col("highlights.content"), 1).alias("first_highlight"))
 
 

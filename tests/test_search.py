@@ -174,3 +174,17 @@ def test_preference_fold(spark):
     rows = [("u", 1, "click", None, True), ("u", 2, "dwell", 6000.0, False), ("u", 3, "skip", None, False), ("u", 4, "dwell", 10.0, False)]
     got = results.preference_update(spark.createDataFrame(rows, "user_id string, ts long, action string, duration double, snippet_used boolean")).first()
     assert (round(got.quality_threshold, 6), round(got.diversity_preference, 6), round(got.snippet_length, 6)) == (0.11, 0.27, 165.0)
+
+
+def test_result_queries_take_the_operators_own_limit(spark, sf_dir):
+    """mmr, mmd and the result chain see up to 100 results of each query, not a cut made before them."""
+    from quarry.plans import retrieval
+
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    sizes = {r.source: min(100, r["count"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count().collect()}
+    assert max(sizes.values()) > 20
+    for name in ("mmr", "mmd"):
+        got = retrieval.QUERIES[name][0](spark, sf_dir).groupBy("query_id").count().collect()
+        assert {r.query_id: r["count"] for r in got} == sizes
+    whole = results.dedupe(results.normalize(results.quality_filter(retrieval.result_rows(spark, sf_dir), None)))
+    assert retrieval.processed(spark, sf_dir).count() == whole.count()
