@@ -111,7 +111,13 @@ def behavior(events: DataFrame) -> DataFrame:
     return sessions.withColumn("k", F.lit(1)).join(rest.withColumn("k", F.lit(1)), "k").drop("k")
 
 
-def top_queries(events: DataFrame, n: int = 10) -> DataFrame:
+def top_queries(events: DataFrame, n: int = 10, interval: str | None = None) -> DataFrame:
+    """The n most frequent queries, in all or (with bucket) of each interval."""
+    if interval is not None:
+        b = F.window("ts", INTERVALS[interval])["start"].alias("bucket")
+        uses = events.where("event_type = 'query'").groupBy(b, F.trim(F.lower("query")).alias("query")).agg(F.count(F.lit(1)).alias("uses"))
+        w = Window.partitionBy("bucket").orderBy(F.desc("uses"), "query")
+        return uses.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
     return events.where("event_type = 'query'").groupBy(F.trim(F.lower("query")).alias("query")).agg(F.count(F.lit(1)).alias("uses")).orderBy(F.desc("uses"), "query").limit(n)
 
 
@@ -127,13 +133,20 @@ def time_series(events: DataFrame, metric: str, interval: str = "hour") -> DataF
     return events.groupBy(b).agg(kinds[metric].alias("value")).orderBy("bucket")
 
 
-def interval_metrics(events: DataFrame, interval: str = "minute") -> DataFrame:
+def interval_metrics(events: DataFrame, interval: str = "minute", n_top: int = 5) -> DataFrame:
+    """By interval: queries, distinct sessions, mean time, errors among queries and errors (error_rate) and by query
+    (errors_per_query), satisfying interactions among interactions (satisfaction) and by query
+    (satisfaction_per_query), and the n_top most frequent queries, joined by commas."""
     b = F.window("ts", INTERVALS[interval])["start"].alias("bucket")
     q = F.col("event_type") == "query"
-    return events.groupBy(b).agg(
-        F.count_if(q).alias("queries"), F.approx_count_distinct("session_id").alias("sessions"), F.avg(F.when(F.col("event_type") == "performance", F.col("search_time"))).alias("avg_time"),
-        F.coalesce(F.try_divide(F.count_if(F.col("event_type") == "error"), F.count_if(q | (F.col("event_type") == "error"))), F.lit(0.0)).alias("error_rate"), satisfaction(),
+    error, pleased = F.col("event_type") == "error", (F.col("event_type") == "interaction") & F.col("action").isin("click", "export", "share")
+    share = lambda n, of: F.coalesce(F.try_divide(F.count_if(n), F.count_if(of)), F.lit(0.0))
+    out = events.groupBy(b).agg(
+        F.count_if(q).alias("queries"), F.count_distinct("session_id").alias("sessions"), F.avg(F.when(F.col("event_type") == "performance", F.col("search_time"))).alias("avg_time"),
+        share(error, q | error).alias("error_rate"), share(error, q).alias("errors_per_query"), satisfaction(), share(pleased, q).alias("satisfaction_per_query"),
     )
+    lead = top_queries(events, n_top, interval).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("place", "query"))).alias("lead"))  # n_top a bucket
+    return out.join(lead.select("bucket", F.array_join("lead.query", ",").alias("top_queries")), "bucket", "left").fillna("", ["top_queries"])
 
 
 def experiments(events: DataFrame) -> DataFrame:
@@ -148,10 +161,16 @@ def smoothed(events: DataFrame, alpha: float = 0.1) -> DataFrame:
     """Exponentially smoothed time by strategy and query length (short up to 20 letters), from 0, in time order.
     The fold is a weighted sum, alpha * (1 - alpha)^(events after), so it is computed without collecting a group."""
     x = events.where("event_type = 'performance'").withColumn("size", F.when(F.length("query") <= 20, "short").otherwise("long"))
-    w = Window.partitionBy("strategy", "size").orderBy(F.desc("ts"), F.desc("query_id"))
-    # terms beyond 400 events back weigh under 1e-18
-    x = x.withColumn("after", F.row_number().over(w) - 1).where("after < 400")
-    return x.groupBy("strategy", "size").agg(F.sum(alpha * F.pow(F.lit(1 - alpha), F.col("after")) * F.col("search_time")).alias("smoothed"))
+    key = ["strategy", "size"]
+    # events of an equal instant fold in order of query_id. Days are folded apart and then chained, so that no task
+    # sorts a whole group: a day's result is what it adds and how much of the past it leaves
+    x = x.withColumn("day", F.to_date("ts"))
+    w = Window.partitionBy(*key, "day").orderBy(F.desc("ts"), F.desc("query_id"))
+    x = x.withColumn("after", F.row_number().over(w) - 1)
+    days = x.groupBy(*key, "day").agg(F.sum(alpha * F.pow(F.lit(1 - alpha), F.col("after")) * F.col("search_time")).alias("adds"), F.count(F.lit(1)).alias("n"))
+    later = Window.partitionBy(*key).orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("later", F.coalesce(F.sum("n").over(later), F.lit(0)))
+    return days.groupBy(*key).agg(F.sum(F.col("adds") * F.pow(F.lit(1 - alpha), F.col("later"))).alias("smoothed"))
 
 
 def latency_stats(df: DataFrame, value: str = "search_time") -> DataFrame:

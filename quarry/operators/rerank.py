@@ -74,10 +74,11 @@ def greedy(scores: list[float], sets: list[set[str]], alpha: float, beta: float,
 
 def diversify(df: DataFrame, how: str = "semantic", most: int = 100) -> DataFrame:
     """Order each query's results anew: semantic (0.7 / 0.3) and mmd (0.6 / 0.4) are greedy, so they take one
-    query at a time, of at most ``most`` results; cluster and round_robin are windows. Adds position and
-    diversity_score."""
-    df = df.withColumn("__n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("__n") <= most)
+    query at a time, of its ``most`` best results; cluster and round_robin are windows over all of them. Adds
+    position and diversity_score."""
+    df = df.withColumn("__n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     if how in ("semantic", "mmd"):
+        df = df.where(F.col("__n") <= most)
         alpha, beta = (0.7, 0.3) if how == "semantic" else (0.6, 0.4)
 
         def pick(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -143,9 +143,10 @@ SELECT (SELECT count(*) FROM s) AS sessions, (SELECT round(avg(n), 6) FROM s) AS
     "an_top_queries": (lambda s, d: A.top_queries(log(s, d), 10), f"WITH {BASE} SELECT 'query ' || (k % 25) AS query, count(*) AS uses FROM ev WHERE event_type = 'view' GROUP BY 1 ORDER BY uses DESC, query LIMIT 10"),
     "an_time_series": (rounded(lambda e: A.time_series(e, "query_count", "hour"), "value"), "SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket, (count(*) FILTER (event_type = 'view'))::DOUBLE AS value FROM events GROUP BY 1"),
     "an_time_series_mean": (rounded(lambda e: A.time_series(e, "average_response_time", "day"), "value"), "SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, round(coalesce(avg(value) FILTER (event_type = 'view'), 0), 6) AS value FROM events GROUP BY 1"),
-    "an_interval_metrics": (rounded(lambda e: A.interval_metrics(e, "day").drop("sessions"), "avg_time", "error_rate", "satisfaction"), f"WITH {BASE} SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, count(*) FILTER (event_type = 'view') AS queries, round(avg(value) FILTER (event_type = 'view'), 6) AS avg_time, round(coalesce(count(*) FILTER (event_type = 'error') / nullif(count(*) FILTER (event_type IN ('view', 'error')), 0), 0), 6) AS error_rate, round(coalesce(avg(CASE WHEN event_type = 'purchase' OR k % 5 <> 0 THEN 1.0 ELSE 0 END) FILTER (event_type IN ('click', 'purchase')), 0), 6) AS satisfaction FROM ev GROUP BY 1"),
+    "an_interval_metrics": (rounded(lambda e: A.interval_metrics(e, "day"), "avg_time", "error_rate", "errors_per_query", "satisfaction", "satisfaction_per_query"), f"WITH {BASE}, u AS (SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, 'query ' || (k % 25) AS query, count(*) AS uses FROM ev WHERE event_type = 'view' GROUP BY 1, 2), l AS (SELECT bucket, string_agg(query, ',' ORDER BY rn) AS top_queries FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY uses DESC, query) AS rn FROM u) WHERE rn <= 5 GROUP BY 1), b AS (SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, count(*) FILTER (event_type = 'view') AS queries, count(DISTINCT session_id) AS sessions, round(coalesce(count(*) FILTER (event_type = 'error') / nullif(count(*) FILTER (event_type = 'view'), 0), 0), 6) AS errors_per_query, round(coalesce(count(*) FILTER (event_type = 'purchase' OR event_type = 'click' AND k % 5 <> 0) / nullif(count(*) FILTER (event_type = 'view'), 0), 0), 6) AS satisfaction_per_query, round(avg(value) FILTER (event_type = 'view'), 6) AS avg_time, round(coalesce(count(*) FILTER (event_type = 'error') / nullif(count(*) FILTER (event_type IN ('view', 'error')), 0), 0), 6) AS error_rate, round(coalesce(avg(CASE WHEN event_type = 'purchase' OR k % 5 <> 0 THEN 1.0 ELSE 0 END) FILTER (event_type IN ('click', 'purchase')), 0), 6) AS satisfaction FROM ev GROUP BY 1) SELECT b.*, coalesce(top_queries, '') AS top_queries FROM b LEFT JOIN l USING (bucket)"),
+    "an_top_queries_daily": (lambda s, d: A.top_queries(log(s, d), 3, "day"), f"WITH {BASE}, u AS (SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, 'query ' || (k % 25) AS query, count(*) AS uses FROM ev WHERE event_type = 'view' GROUP BY 1, 2) SELECT bucket, query, uses, CAST(rn AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY uses DESC, query) AS rn FROM u) WHERE rn <= 3"),
     "an_experiment": (rounded(A.experiments, "total"), f"WITH {BASE} SELECT 'exp' AS experiment_id, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS variant, 'value' AS metric, round(sum(round(value, 2)), 6) AS total, count(DISTINCT session_id) AS participants FROM ev WHERE event_type = 'signup' GROUP BY ALL"),
-    "an_smoothed": (rounded(A.smoothed, "smoothed"), None),
+    "an_smoothed": (rounded(A.smoothed, "smoothed"), f"WITH {BASE}, x AS (SELECT CASE k % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'keyword' ELSE 'phrase' END AS strategy, value, row_number() OVER (PARTITION BY k % 3 ORDER BY ts DESC, query_id DESC) - 1 AS after FROM ev WHERE event_type = 'view') SELECT strategy, 'short' AS size, round(sum(0.1 * pow(0.9, after) * value), 6) AS smoothed FROM x GROUP BY 1"),
     "an_latency": (rounded(lambda e: A.latency_stats(e.where("event_type = 'performance'")), "mean", "stddev"), f"WITH {BASE} SELECT min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stddev, {PCT.format(q=0.5)} AS median, {PCT.format(q=0.95)} AS p95, {PCT.format(q=0.99)} AS p99 FROM ev WHERE event_type = 'view'"),
     "an_recommendations": (recommend, None),
     "an_sessions": (sessions, "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS asked, CAST(sum(len(string_split_regex(text, '\\s+'))) AS BIGINT) AS words FROM conversations GROUP BY 1"),

@@ -273,7 +273,7 @@ def cluster_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rerank.diversify(result_rows(spark, sf_dir), "round_robin", 1_000_000).select("query_id", "id", "turn", "position")
+    return rerank.diversify(result_rows(spark, sf_dir), "round_robin").select("query_id", "id", "turn", "position")
 
 
 def diversify_run(how: str) -> Run:

@@ -223,3 +223,28 @@ def test_names():
     for bad in (0, 10_001, True, "1"):
         with pytest.raises(ValueError):
             check_limit(bad)
+
+
+def test_smoothing_forgets_nothing(spark):
+    """A small alpha weighs thousands of events."""
+    rows = [("performance", 1_700_000_000 + 60 * i, "s", "q", f"q{i % 7}", 100.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "event_type string, t long, strategy string, query string, query_id string, search_time double").withColumn("ts", F.timestamp_seconds("t"))
+    assert analytics.smoothed(df, 0.001).first().smoothed == pytest.approx(100 * (1 - 0.999**3000))
+
+
+def test_entry_without_the_training_operators(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    for x in ("quarry/llm", "tests/llm"):
+        shutil.rmtree(tmp_path / "r" / x, ignore_errors=True)
+    code = "import __spark_entry__ as e; q = e.queries(); print(set(e.oracle_sql()) <= set(q), 'hybrid_rrf3' in q, any(n.startswith('op') for n in q))"
+    env = {**os.environ, "PYTHONPATH": str(tmp_path / "r")}
+    for _ in range(2):
+        got = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "r", env=env, capture_output=True, text=True)
+        assert got.stdout.split() == ["True", "True", "False"], got.stderr
+        (tmp_path / "r" / "corpus_pipeline.py").unlink(missing_ok=True)
