@@ -150,6 +150,28 @@ def test_restoration_of_long_stretches():
     assert r.restore("wor7hless" * 9) == "worthless" * 9
 
 
+def test_only_restored_text_is_scored():
+    """A word that is read as another one counts as that only; the reading is the score's only source."""
+    chars = characters()
+    r = toxicity.Restorer(chars, ["idiot", "worthless", "idiooooot"])
+    for seen in ("an idiooooot", "an 1d10t", "i d i o t", "an idiot"):
+        assert r.found(seen) == r.terms & toxicity.words(r.restore(seen)) == {"idiot"}
+    m = toxicity.Model(chars, {"idiot": 3.0, "worthless": 2.0, "idiooooot": 9.0}, 0.0, 1.0)
+    assert m.evidence(r, "idiooooot, w o r t h l e $ $ 1d10t") == 5.0 and m.evidence(r, None) == 0.0
+
+
+def test_toxicity_against_brute_force(spark, sf_dir):
+    """The registered query's scores are the fit over the restored words, one text at a time."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "labels"))
+    model = toxicity.train(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in Q.op9_toxicity(spark, sf_dir).collect():
+        restored = toxicity.Restorer(model.chars).restore(text[r.doc_id] or "")
+        x = min(12.0, sum(model.terms[w] for w in sorted(model.terms) if w in toxicity.words(restored)))
+        p = 1 / (1 + math.exp(-(model.a + model.b * x)))
+        assert r.score == pytest.approx(p) and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_toxicity_edges(spark, docs, no_docs, rows):
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1), (3, None), (999, 1)], "doc_id long, toxic int")
     got = toxicity.score(docs, labels)
