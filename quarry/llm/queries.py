@@ -39,7 +39,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents")).drop("draws", "source")
+    return mixing.mix(read_table(spark, sf_dir, "documents")).drop("draws", "source")  # shard and shard_blocks stay
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,10 +29,17 @@ def test_targets():
     assert sum(t) == pytest.approx(1015) and all(x <= 3 * s + 1e-9 for x, s in zip(t, [5, 7, 1000, 3]))
 
 
-def test_tree_deals_every_block_once():
-    t = mixing.split_tree([1000, 10, 0, 7], 8)
+def test_trees_split_exactly():
+    t = mixing.deal([1000, 10, 0, 7], 8)
     assert t.sum(1).tolist() == [1000, 10, 0, 7] and (t >= 0).all() and np.ptp(t.sum(0)) <= 3
-    assert (t == mixing.split_tree([1000, 10, 0, 7], 8)).all()
+    assert (t == mixing.deal([1000, 10, 0, 7], 8)).all() and (t != mixing.deal([1000, 10, 0, 7], 8, 5)).any()
+    q = mixing.split_quota([400, 10, 0, 2], t)
+    assert q.sum(1).tolist() == [400, 10, 0, 2] and (q >= 0).all() and (q <= t).all()
+    # a draw without replacement: means and variances are the hypergeometric ones
+    many = np.array([mixing.split_quota([400], t[:1], i)[0, 0] for i in range(400)])
+    m = t[0, 0]
+    mean, var = 400 * m / 1000, 400 * m / 1000 * (1 - m / 1000) * 600 / 999
+    assert abs(many.mean() - mean) < 4 * (var / 400) ** 0.5 and 0.7 < many.var() / var < 1.4
 
 
 def check_mix(mixed, rows, block_words):
@@ -61,6 +68,62 @@ def test_mix(docs, rows, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def plain_mix(sized, block_words, n_shards, seed=mixing.SEED):
+    """taken by (doc_id, size, u) of rows (doc_id, source, size, u, block order), by plain loops."""
+    by = collections.defaultdict(list)
+    for r in sized:
+        by[r.source].append(r)
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r.size for r in by[s]) for s in names]
+    goal = mixing.targets(sizes, [[5.0, 2.0, 1.0][i % 3] for i in range(len(names))])
+    n = [max(1, -(-x // block_words)) for x in sizes]
+    words = [min(round(g), 3 * x) for g, x in zip(goal, sizes)]
+    whole = [w // x if x else 0 for w, x in zip(words, sizes)]
+    rest = [w - k * x for w, k, x in zip(words, whole, sizes)]
+    need = [min(k, -(-r * k // x)) if x else 0 for r, k, x in zip(rest, n, sizes)]
+    owned = mixing.deal(n, n_shards, seed)
+    quota = mixing.split_quota(need, owned, seed)
+    out = collections.Counter()
+    for i, s in enumerate(names):
+        blocks = collections.defaultdict(list)
+        for r in by[s]:
+            blocks[int(r.u * n[i])].append(r)
+        ends = np.cumsum(owned[i])
+        lanes = collections.defaultdict(list)
+        for b in sorted(blocks, key=lambda b: (blocks[b][0].order[b], b)):
+            lanes[int(np.searchsorted(ends, b, side="right"))].append(b)
+        line = [b for x in sorted(lanes) for b in lanes[x][: quota[i, x]]] + [b for x in sorted(lanes) for b in lanes[x][quota[i, x] :]]
+        left = rest[i]
+        for b in line:
+            for r in sorted(blocks[b], key=lambda r: (r.u, r.doc_id is not None, r.doc_id, r.size)):
+                got = min(left, r.size)
+                left -= got
+                out[r.doc_id, r.size, whole[i] * r.size + got] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", [mixing.SEED, 3])
+def test_mix_against_plain_loops(spark, sf_dir, seed):
+    """The whole documents table, in blocks small enough for many cuts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = mixing.mix(docs, block_words=2000, n_shards=4, seed=seed).collect()
+    most = max(r.source_size for r in got) // 2000 + 1
+    key = F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source"))
+    order = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(most)), lambda b: F.xxhash64(key, b, F.lit(seed)))
+    sized = docs.select("doc_id", "source", F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("size"), mixing._unit(F.col("doc_id"), F.col("text"), F.lit(seed)).alias("u"), order.alias("order")).collect()
+    assert collections.Counter((r.doc_id, r.size, r.taken) for r in got) == plain_mix(sized, 2000, 4, seed)
+
+
+def test_tree_decides_what_is_taken(spark, sf_dir, monkeypatch):
+    """Other quotas take other documents, and as many words."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    one = {(r.doc_id, r.size): r.taken for r in mixing.mix(docs, block_words=500, n_shards=4).collect()}
+    split = mixing.split_quota
+    monkeypatch.setattr(mixing, "split_quota", lambda q, o, seed: split(q, o, seed + 1))
+    two = {(r.doc_id, r.size): r.taken for r in mixing.mix(docs, block_words=500, n_shards=4).collect()}
+    assert one != two and sum(one.values()) == sum(two.values())
+
+
 def test_media_round_trip(docs, rows, no_docs):
     got = media.read_back(media.store_texts(docs)).collect()
     assert len(got) == len(rows)
