@@ -49,15 +49,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which an execution's shuffle files go when it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it back: lineage ends there,
-    and a lost executor costs no earlier stage."""
+    """Write df as Parquet below the shared folder and read it back: lineage ends there, a lost executor costs
+    no earlier stage, and the shuffle files behind it are removed as soon as it is written."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until df has no such column, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+        taken.add(n.lower())
+    return out
+
+
 def local_path(path: str) -> str | None:
     """The mounted path of a file: URI, else None."""
     if path.startswith("file:"):

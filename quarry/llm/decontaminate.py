@@ -1,26 +1,33 @@
 """Benchmark decontamination: a broadcast hash set of normalised benchmark n-grams.
 
-Windows of ten words of each benchmark item (an item of fewer words is one window) form a
-hash set that travels with the plan to every task. Each document's word positions are
-scanned; a cheap three-word anchor decides whether a position is looked at, and the whole
-window's text decides whether it is a hit, so hash collisions never count. Everything
-happens inside the row: no shuffle of texts, and a hot passage costs only its own rows.
+Windows of ten words of each benchmark item (an item of fewer words is one window) are hashed by
+their first words; the set of these anchors is broadcast. Each document's word positions stream
+past it inside one stage: a position whose anchor is in the set is a candidate, and the text of
+the whole window, joined with the windows, decides whether it is a hit, so hash collisions never
+count. What leaves the stage are hits only; a hot passage costs its own rows, copies of a text
+are merged before the shuffle.
 
-The set is only built into the plan while it has at most ``max_windows`` windows; above
-that the same windows are compared by an ordinary equi-join, which may shuffle.
+It is one plan for any benchmark. Its sizes are counted: more than ``max_anchors`` anchors are dealt
+to several sets, each of which the documents stream past in turn; more than ``max_windows`` windows
+are joined with the candidates by a shuffle instead of a broadcast.
+
+Hits belong to texts (a 128-bit hash), and documents get them by a join on it: broadcast up to
+``MAX_KEYS`` texts, else by a shuffle.
 
 Defined cases: null or empty texts have no words and no hits; a null item text has no
 window; items with equal texts each count; a null item_id is ignored in item lists;
 repeated document rows each give a row; an empty benchmark hits nothing; other columns of
-either table are never touched (the operator's own columns replace equal names).
+either table are never touched, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_or_empty
+from .common import ascii_lower, settle, text_or_empty, unused
 
 #: A word of the contract, on lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -28,7 +35,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PIECE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 N = 10
 ANCHOR = 3
-MAX_WINDOWS = 20_000
+#: Rows broadcast at most: anchors (a number each), windows (about a hundred bytes each), texts with hits (two numbers).
+MAX_ANCHORS, MAX_WINDOWS, MAX_KEYS = 2_000_000, 200_000, 2_000_000
 
 
 def words_of(c: Column) -> Column:
@@ -48,58 +56,34 @@ def item_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     )
 
 
-def let(value: Column, body) -> Column:
-    """body of value, computed once: a filter would else have the value's expression at every place, also inside
-    the lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _anchor(words: Column, i: Column, k: int) -> Column:
     return F.xxhash64(*[F.get(words, i + F.lit(j)) for j in range(k)])
 
 
-def _in(value: Column, longs: list[int]) -> Column:
-    return value.isin(longs) if longs else F.lit(False)
-
-
-def _long(x: Column) -> Column:
-    return x.cast("long")
-
-
-class WindowSet:
-    """The windows of a benchmark, on the driver if they are few enough (``small``)."""
-
-    def __init__(self, benchmark: DataFrame, n: int = N, max_windows: int = MAX_WINDOWS):
-        self.n, self.table = n, item_windows(benchmark, n)
-        rows = self.table.select("gram", "len", "anchor").limit(max_windows + 1).collect()
-        self.small = len(rows) <= max_windows
-        self.grams = [r.gram for r in rows] if self.small else []
-        self.anchors = {k: sorted({r.anchor for r in rows if min(r.len, ANCHOR) == k}) for k in range(1, ANCHOR + 1)}
-        # lengths: those seen, or any where the windows were not all fetched
-        self.lengths = sorted({r.len for r in rows}) if self.small else list(range(1, n + 1))
-
-    def spans(self, words: Column) -> Column:
-        """array<struct<pos int, len int, gram string>> of the hits, by position. Only for small sets."""
-        if not self.grams:
-            return F.expr("cast(array() as array<struct<pos:int,len:int,gram:string>>)")
-        return F.filter(self.candidates(words), lambda x: x["gram"].isin(self.grams))
-
-    def candidates(self, words: Column) -> Column:
-        """The windows at positions whose anchor is known (at all positions if the set isn't small)."""
-        size = F.size(words)
-        positions = F.when(size > 0, F.sequence(F.lit(0), size - F.lit(1))).otherwise(F.expr("cast(array() as array<int>)"))
-        if self.small:
-            def known(i: Column) -> Column:
-                test = F.lit(False)
-                for k, longs in self.anchors.items():
-                    if longs:
-                        test = test | _in(_anchor(words, i, k), longs)
-                return test
-
-            positions = F.filter(positions, known)
-        each = lambda i, k: F.struct(i.alias("pos"), F.lit(k).alias("len"), F.array_join(F.slice(words, i + F.lit(1), k), " ").alias("gram"))
-        all_of = F.flatten(F.transform(positions, lambda i: F.array(*[each(i, k) for k in self.lengths])))
-        return F.filter(all_of, lambda x: x["pos"] + x["len"] <= size)
+def _key() -> list[Column]:
+    return [F.xxhash64(text_or_empty()).alias("k1"), F.xxhash64(F.lit(1), text_or_empty()).alias("k2")]
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = MAX_WINDOWS, max_anchors: int = MAX_ANCHORS) -> tuple[DataFrame, int]:
+    """(k1, k2, spans, items) of each distinct text with hits: array<struct<pos, len>> by position and the items, of
+    which a window occurs; a written table, and its number of rows."""
+    table = settle(item_windows(benchmark, n), "decontaminate-windows")
+    n_windows, n_anchors, kinds = table.agg(F.count(F.lit(1)), F.count_distinct("anchor"), F.collect_set(F.least("len", F.lit(ANCHOR)))).first()
+    near = lambda df, count, most: F.broadcast(df) if count <= most else df
+    anchors = table.groupBy("anchor").agg(F.collect_set("len").alias("lens"))  # at most n lengths
+    w = F.col("w")
+    place = lambda k: lambda _, i: F.struct(i.alias("pos"), _anchor(w, i, k).alias("anchor"))
+    places = F.concat(*[F.transform(w, place(k)) for k in sorted(kinds) or [ANCHOR]])
+    at = docs.select(*_key(), words_of(text_or_empty()).alias("w")).select("k1", "k2", "w", F.explode(places).alias("p")).select("k1", "k2", "w", "p.pos", "p.anchor")
+    sets = -(-n_anchors // max_anchors) or 1
+    part = lambda i: anchors.where(F.pmod(F.xxhash64(F.lit(3), "anchor"), F.lit(sets)) == i)
+    passed = reduce(DataFrame.unionByName, [at.join(F.broadcast(part(i)), "anchor") for i in range(sets)])
+    passed = passed.select("k1", "k2", "w", "pos", F.explode("lens").alias("len")).where(F.col("pos") + F.col("len") <= F.size("w"))
+    passed = passed.select("k1", "k2", "pos", "len", F.array_join(F.slice("w", F.col("pos") + 1, F.col("len")), " ").alias("gram"))
+    found = passed.join(near(table.select("gram", "len", "items"), n_windows, max_windows), ["gram", "len"])
+    spans = found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    out = settle(spans, "decontaminate-hits")
+    return out, out.count()
 
 
 def covered(spans: Column) -> Column:
@@ -112,47 +96,39 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda a: a["n"])
 
 
-def report(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def _with_hits(docs: DataFrame, found: DataFrame, count: int, how: str, *columns: str) -> DataFrame:
+    """docs joined with the hits of their texts; columns (of found) get the names that unused() gives them."""
+    k1, k2 = unused(docs, "__k1", "__k2")
+    names = unused(docs, *(f"__{c}" for c in columns))
+    right = found.select(F.col("k1").alias(k1), F.col("k2").alias(k2), *(F.col(c).alias(x) for c, x in zip(columns, names)))
+    keyed = docs.withColumns(dict(zip((k1, k2), _key())))
+    return keyed.join(F.broadcast(right) if count <= MAX_KEYS else right, [k1, k2], how).select(*docs.columns, *([] if how == "left_anti" else names))
+
+
+def report(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = MAX_WINDOWS, max_anchors: int = MAX_ANCHORS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, per document row."""
-    known = WindowSet(benchmark, n, max_windows)
-    base = docs.select("doc_id", words_of(text_or_empty()).alias("w"), F.monotonically_increasing_id().alias("row"))
-    base = base.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), (known.spans(F.col("w")) if known.small else known.candidates(F.col("w"))).alias("spans"))
-    if known.small:
-        base = base.select("row", "doc_id", "n_words", covered(F.col("spans")).alias("n_hit"), F.explode_outer(F.array_distinct(F.col("spans.gram"))).alias("gram"))
-        found = base.join(F.broadcast(known.table.select("gram", "items")), "gram", "left")  # at most max_windows rows
-        out = found.groupBy("row", "doc_id", "n_words", "n_hit").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    else:
-        each = base.select("row", "doc_id", "n_words", F.explode_outer("spans").alias("x")).select("row", "doc_id", "n_words", "x.*")
-        found = each.join(known.table.select("gram", "items"), "gram", "left")
-        hit = F.when(F.col("items").isNotNull(), F.struct("pos", "len"))
-        out = found.groupBy("row", "doc_id", "n_words").agg(covered(F.array_sort(F.collect_list(hit))).alias("n_hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    out = out.withColumn("items", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
-    return out.select(
+    docs = docs.select("doc_id", "text")
+    found, count = hits(docs, benchmark, n, max_windows, max_anchors)
+    base = _with_hits(docs, found, count, "left", "spans", "items")
+    items = F.array_sort(F.transform(F.coalesce("__items", F.array()), lambda x: x.cast("string")))
+    base = base.select("doc_id", F.regexp_count(ascii_lower(text_or_empty()), F.lit(WORD)).cast("long").alias("n_words"), F.coalesce(covered(F.col("__spans")), F.lit(0)).alias("n_hit"), items.alias("items"))
+    return base.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items",
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", n: int = N, max_windows: int = MAX_WINDOWS, max_anchors: int = MAX_ANCHORS) -> DataFrame:
     """docs without their contaminated documents (mode "document") or without the words inside
     hit windows (mode "span"). Clean documents come back byte for byte; columns stay as they are."""
     if mode not in ("document", "span"):
         raise ValueError(f"unknown mode {mode!r}")
-    known = WindowSet(benchmark, n, max_windows)
-    if known.small and mode == "document":
-        return docs.where(let(words_of(text_or_empty()), lambda w: F.size(known.spans(w))) == 0)
-    if known.small:
-        return docs.withColumn("text", let(let(words_of(text_or_empty()), known.spans), lambda s: _cut(F.col("text"), s)))
-    # Too many windows for the plan: hits come from a join, keyed by the text itself.
-    key = [F.xxhash64(text_or_empty()).alias("__k1"), F.xxhash64(F.lit(1), text_or_empty()).alias("__k2")]
-    each = docs.select(*key, F.explode(let(words_of(text_or_empty()), known.candidates)).alias("x"))
-    hits = each.join(known.table.select(F.col("gram").alias("__gram")), F.col("x.gram") == F.col("__gram"), "left_semi")
-    keyed = docs.select("*", *key)
+    found, count = hits(docs.select("text"), benchmark, n, max_windows, max_anchors)
     if mode == "document":
-        return keyed.join(hits.select("__k1", "__k2").distinct(), ["__k1", "__k2"], "left_anti").select(*docs.columns)
-    spans = hits.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_set(F.struct("x.pos", "x.len"))).alias("__spans"))
-    cut = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(_cut(F.col("text"), F.col("__spans")))
-    return keyed.join(spans, ["__k1", "__k2"], "left").withColumn("text", cut).select(*docs.columns)
+        return _with_hits(docs, found, count, "left_anti")
+    marked = _with_hits(docs, found, count, "left", "spans")
+    spans = F.col(marked.columns[-1])
+    return marked.withColumn("text", F.when(spans.isNull(), F.col("text")).otherwise(_cut(F.col("text"), spans))).select(*docs.columns)
 
 
 def _cut(text: Column, spans: Column) -> Column:

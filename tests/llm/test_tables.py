@@ -216,14 +216,25 @@ def test_decontamination(spark, docs, rows, no_docs):
                     ids.add(i)
         ids = sorted(str(i) for i in ids if i is not None)
         want[r[0], len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)] += 1
-    for limit in (20_000, 0):  # the set in the plan, and the join beyond its bound
-        got = decontaminate.report(docs, bench, max_windows=limit).drop("items").collect()
+    docs = docs.withColumns({"__k1": F.lit(1), "__K2": F.lit("x"), "__spans": F.lit(2), "pos": F.lit(3), "k1": F.lit(4)})
+    for limits in ((20_000, 20_000), (0, 7)):  # the sets at once, and beyond their bounds
+        got = decontaminate.report(docs, bench, 10, *limits).drop("items").collect()
         assert collections.Counter(tuple(r) for r in got) == want
-        clean = decontaminate.decontaminate(docs, bench, max_windows=limit)
+        clean = decontaminate.decontaminate(docs, bench, "document", 10, *limits)
         assert clean.columns == docs.columns and clean.count() == sum(n for k, n in want.items() if not k[-1])
-        cut = decontaminate.decontaminate(docs, bench, "span", max_windows=limit)
+        cut = decontaminate.decontaminate(docs, bench, "span", 10, *limits)
         assert cut.count() == len(rows) and cut.where("text like '%" + " ".join(base[30:40]) + "%'").count() == 0
         again = decontaminate.report(cut, bench).agg(F.sum("n_words")).first()[0]
         assert again == sum(k[1] * n - k[2] * n for k, n in want.items())
     assert decontaminate.report(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.report(no_docs, bench).count() == 0
+
+
+def test_decontamination_by_a_large_benchmark(spark):
+    """200 000 windows, most of which start with the same few words."""
+    bench = spark.range(2000).select(F.col("id").alias("item_id"), F.array_join(F.concat(F.array(F.lit("the of and")), F.transform(F.sequence(F.lit(0), F.lit(105)), lambda i: F.concat(F.lit("w"), ((F.col("id") * 107 + i) % 500_021).cast("string")))), " ").alias("text"))
+    assert decontaminate.item_windows(bench).count() > 190_000
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("the of and "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.concat(F.lit("w"), (F.col("id") * 40 + i * F.when(F.col("id") % 3 == 0, 1).otherwise(2)).cast("string"))), " ")).alias("text"))
+    for limits in ((10**6, 10**6), (1000, 90_000)):
+        got = decontaminate.report(docs, bench, 10, *limits).collect()
+        assert all(r.contaminated == (r.doc_id % 3 == 0) and r.n_words == 34 for r in got) and len(got) == 300
