@@ -2,13 +2,22 @@
 
 Map tasks send a shard's keys (already merged within the task's batch) as one packed blob, so
 a hot key costs one entry a batch; each shard's blobs are merged in key order and written as
-raw arrays. Shards are ranges of the hash, as many as the corpus needs (``shards_for``), so a
+arrays. Shards are ranges of the hash, as many as the corpus needs (``shards_for``), so a
 merge holds a bounded part of the keys. Files are written whole and renamed; a repeated task
 writes the same bytes.
+
+A file holds the keys in order without the bits that their place implies: a table of the places
+of 2 ** b ranges of the shard's hashes leaves 40 bits, five bytes, of each key (all eight where
+the table would cost more). Each column is stored in the smallest of three forms: plain, one byte
+with a list of what doesn't fit, or a default with a list of what differs.
+
+Lookups go through whole batches in key order, so each shard is visited once a batch and read
+front to back; a worker keeps at most ``OPEN`` shards mapped.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Callable, Iterator
 
@@ -22,6 +31,8 @@ from .common import fresh_path, local_path, read_bytes, settle, write_bytes
 U = np.uint64
 #: Bytes of corpus for each shard.
 SHARD_BYTES = 8 << 20
+#: Shards that a worker keeps mapped, or (where the folder isn't mounted) fetched.
+OPEN, FETCHED = 512, 4
 _rng = np.random.Generator(np.random.PCG64(20240117))
 #: A random 64-bit number for each byte, and an odd multiplier with its inverse.
 BYTE = _rng.integers(0, 2**64, 256, np.uint64)
@@ -122,7 +133,7 @@ def merge(messages: DataFrame, kinds: list[str], n_shards: int, finish: Callable
             k = np.concatenate(keys)
             c = [np.concatenate(x) for x in zip(*cols)] if types else []
             k, stored, row = finish(k, c)
-            write_bytes(f"{path}/{now:05d}.bin", struct.pack("<QB", len(k), len(stored)) + b"".join(c.dtype.str.encode().ljust(8) for c in stored) + b"\0" * (7 + 8 * (16 - len(stored))) + k.tobytes() + b"".join(c.tobytes() for c in stored))
+            write_bytes(f"{path}/{now:05d}.bin", _file(k, stored, n_shards))
             return row
 
         rows = []
@@ -149,9 +160,105 @@ def merge(messages: DataFrame, kinds: list[str], n_shards: int, finish: Callable
     return path, settle(done, f"{name}-rows")
 
 
+def _bits(n_shards: int) -> int:
+    return n_shards.bit_length() - 1
+
+
+def _file(keys: np.ndarray, columns: list[np.ndarray], n_shards: int) -> bytes:
+    """keys ascending, of one shard."""
+    n, top = len(keys), _bits(n_shards)
+    b = max(24 - top, n.bit_length() - 3)
+    parts: list[np.ndarray] = []
+    if (4 << b) + 5 * n < 8 * n:
+        mask = U((1 << (64 - top)) - 1)
+        ranges = (keys & mask) >> U(64 - top - b)
+        table = np.searchsorted(ranges, np.arange((1 << b) + 1, dtype=np.uint64)).astype(np.uint32)
+        parts += [table, (keys & U(0xFFFFFFFF)).astype(np.uint32), (keys >> U(32) & U(0xFF)).astype(np.uint8)]
+    else:
+        b = 0
+        parts.append(keys)
+    forms = []
+    for c in columns:
+        form, arrays = _column(c)
+        forms.append((form, c.dtype.str, len(parts)))
+        parts += arrays
+    places, at = [], 0
+    for x in parts:
+        places.append((x.dtype.str, len(x), at))
+        at += -(-x.nbytes // 8) * 8
+    head = json.dumps({"n": n, "b": b, "columns": forms, "parts": places}).encode()
+    head += b" " * (-(len(head) + 4) % 8)
+    return b"".join([struct.pack("<I", len(head)), head, *(y for x in parts for y in (x.tobytes(), bytes(-x.nbytes % 8)))])
+
+
+def _column(c: np.ndarray) -> tuple[str, list[np.ndarray]]:
+    """The smallest form of a column, and its arrays."""
+    sizes, made = {"plain": c.nbytes}, {"plain": [c]}
+    if len(c) and c.dtype.kind == "u" and c.dtype.itemsize > 1:
+        far = np.flatnonzero(c >= 255)
+        sizes["byte"] = len(c) + len(far) * (4 + c.itemsize)
+        made["byte"] = [np.minimum(c, 255).astype(np.uint8), far.astype(np.uint32), c[far]]
+    if len(c):
+        values, counts = np.unique(c[:: max(1, len(c) // 1000)], return_counts=True)
+        usual = values[counts.argmax() : counts.argmax() + 1]
+        far = np.flatnonzero(c != usual[0])
+        sizes["usual"] = len(far) * (4 + c.itemsize)
+        made["usual"] = [usual, far.astype(np.uint32), c[far]]
+    form = min(sizes, key=sizes.get)
+    return form, made[form]
+
+
+class _Shard:
+    def __init__(self, raw: np.ndarray, n_shards: int):
+        size = struct.unpack_from("<I", raw[:4].tobytes())[0]
+        head = json.loads(raw[4 : 4 + size].tobytes())
+        self.n, self.b, self.top, self.columns = head["n"], head["b"], _bits(n_shards), head["columns"]
+        base = 4 + size
+        self.parts = [raw[base + at : base + at + k * np.dtype(t).itemsize].view(t) for t, k, at in head["parts"]]
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1; keys ascending."""
+        out = np.full(len(keys), -1, np.int64)
+        if not self.n:
+            return out
+        if not self.b:
+            have = self.parts[0]
+            at = np.minimum(np.searchsorted(have, keys), self.n - 1)
+            ok = have[at] == keys
+            out[ok] = at[ok]
+            return out
+        table, low, high = self.parts[:3]
+        r = ((keys & U((1 << (64 - self.top)) - 1)) >> U(64 - self.top - self.b)).astype(np.int64)
+        at, end = table[r].astype(np.int64), table[r + 1].astype(np.int64)
+        want, more = (keys & U(0xFFFFFFFF)).astype(np.uint32), (keys >> U(32) & U(0xFF)).astype(np.uint8)
+        live = np.flatnonzero(at < end)
+        while len(live):  # a few keys a range
+            p = at[live]
+            got = low[p]
+            ok = got == want[live]
+            ok[ok] = high[p[ok]] == more[live[ok]]
+            out[live[ok]] = p[ok]
+            live = live[~ok]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
+
+    def values(self, i: int, at: np.ndarray) -> np.ndarray:
+        """Column i at ascending places."""
+        form, kind, first = self.columns[i]
+        if form == "plain":
+            return self.parts[first][at]
+        usual, far, other = self.parts[first : first + 3]
+        out = usual[at].astype(kind) if form == "byte" else np.full(len(at), usual[0], kind)
+        if len(far):
+            j = np.minimum(np.searchsorted(far, at), len(far) - 1)
+            there = far[j] == at
+            out[there] = other[j[there]]
+        return out
+
+
 class Arrays:
-    """Reader of merge()'s arrays. Shards are mapped where the shared folder is mounted, else fetched
-    and kept a few at a time."""
+    """Reader of merge()'s arrays. Shards are mapped where the shared folder is mounted, else fetched."""
 
     def __init__(self, path: str, n_shards: int):
         self.path, self.n_shards, self.open = path, n_shards, {}
@@ -159,51 +266,42 @@ class Arrays:
     def __getstate__(self) -> dict:
         return {"path": self.path, "n_shards": self.n_shards, "open": {}}
 
-    def shard(self, i: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        if i not in self.open:
-            name = f"{self.path}/{i:05d}.bin"
-            try:
-                if (p := local_path(name)) is not None:
-                    raw = np.memmap(p, np.uint8, "r")
-                else:
-                    while len(self.open) >= 4:
-                        self.open.pop(next(iter(self.open)))
-                    raw = np.frombuffer(read_bytes(name), np.uint8)
-            except FileNotFoundError:  # no key fell into it
-                self.open[i] = (np.zeros(0, np.uint64), [])
-                return self.open[i]
-            n, m = struct.unpack_from("<QB", raw[:9].tobytes())
-            kinds = [np.dtype(raw[9 + 8 * j : 17 + 8 * j].tobytes().strip().decode()) for j in range(m)]
-            at = 144
-            keys = raw[at : at + 8 * n].view(np.uint64)
-            at, cols = at + 8 * n, []
-            for k in kinds:
-                cols.append(raw[at : at + n * k.itemsize].view(k))
-                at += n * k.itemsize
-            self.open[i] = (keys, cols)
+    def shard(self, i: int) -> _Shard | None:
+        if i in self.open:
+            return self.open[i]
+        name = f"{self.path}/{i:05d}.bin"
+        p = local_path(name)
+        while len(self.open) >= (OPEN if p is not None else FETCHED):
+            self.open.pop(next(iter(self.open)))
+        try:
+            raw = np.memmap(p, np.uint8, "r") if p is not None else np.frombuffer(read_bytes(name), np.uint8)
+        except FileNotFoundError:  # no key fell into it
+            self.open[i] = None
+        else:
+            self.open[i] = _Shard(raw, self.n_shards)
         return self.open[i]
 
     def find(self, keys: np.ndarray, kinds: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """For each key: whether it is there, and its columns (0 where it isn't). Keys are looked up in
-        order, so each shard is read once from front to back."""
+        """For each key: whether it is there, and its columns (0 where it isn't)."""
         order = np.argsort(keys)
         keys = keys[order]
         new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
         once = keys[new]
-        shift = U(64 - self.n_shards.bit_length() + 1)
+        shift = U(64 - _bits(self.n_shards))
         edges = np.append(np.searchsorted(once, np.arange(self.n_shards, dtype=np.uint64) << shift), len(once))
         there = np.zeros(len(once), bool)
         cols = [np.zeros(len(once), k) for k in kinds]
         for i in np.flatnonzero(np.diff(edges)):
             a, z = edges[i], edges[i + 1]
-            have, values = self.shard(int(i))
-            if not len(have):
+            have = self.shard(int(i))
+            if have is None:
                 continue
-            at = np.minimum(np.searchsorted(have, once[a:z]), len(have) - 1)
-            ok = have[at] == once[a:z]
+            at = have.places(once[a:z])
+            ok = at >= 0
             there[a:z] = ok
-            for c, v in zip(cols, values):
-                c[a:z][ok] = v[at[ok]]
+            at = at[ok]
+            for j, c in enumerate(cols):
+                c[a:z][ok] = have.values(j, at)
         which = np.cumsum(new) - 1
         back = np.empty(len(order), np.int64)
         back[order] = which

@@ -61,40 +61,115 @@ def test_spans_are_the_best_path(spark):
     assert [x for x, _, _ in model.label(texts)[0][2]] == ["aa", "bb"]
 
 
-def test_model_against_plain_counts(docs, rows, no_docs):
-    """Kneser-Ney by dictionaries; probabilities sum to one."""
-    tok = [(r[0], (r[1] or "").encode().lower().split() + [b"</s> "]) for r in rows]
-    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    c, pairs = collections.Counter(), collections.Counter()
-    for i, t in tok:
-        if not out(i):
-            c.update(t)
-            pairs.update(zip([b"<s> ", *t[:-1]], t))
-    n, v = sum(c.values()), len(c)
-    ctx, kinds, cont = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0]), collections.Counter()
-    for (h, w), k in pairs.items():
-        ctx[h] += k
-        kinds[h][min(k, 3) - 1] += 1
-        cont[w] += 1
-    hist = lambda xs: [sum(x == i for x in xs) for i in (1, 2, 3, 4)]
-    d2, d1 = lm.discounts(hist(pairs.values())), lm.discounts(hist(cont.values()))
-    m = hist(cont.values())
-    spare = (d1[0] * m[0] + d1[1] * m[1] + d1[2] * sum(x > 2 for x in cont.values())) / len(pairs)
-    cut = lambda k, d: max(k - [0, *d][min(k, 3)], 0)
-    lower = lambda w: cut(cont[w], d1) / len(pairs) + spare / (v + 1)
-    prob = lambda h, w: cut(pairs[h, w], d2) / ctx[h] + sum(a * b for a, b in zip(d2, kinds[h])) / ctx[h] * lower(w) if ctx[h] else lower(w)
-    assert sum(prob(b"<s> ", w) for w in c) + prob(b"<s> ", b"?") == pytest.approx(1)
-    got = lm.score(docs)
-    assert got.count() == len(rows)
+class PlainModel:
+    """Interpolated modified Kneser-Ney by dictionaries of tuples."""
+
+    def __init__(self, texts, order):
+        self.order, self.a = order, {}
+        raw = {k: collections.Counter() for k in range(1, order + 1)}
+        for t in texts:
+            x = ["<s> "] * (order - 1) + t
+            for i in range(order - 1, len(x)):
+                for k in range(1, order + 1):
+                    raw[k][tuple(x[i - k + 1 : i + 1])] += 1
+        self.a[order] = raw[order]
+        for k in range(order - 1, 0, -1):
+            left = collections.Counter(g[1:] for g in raw[k + 1])
+            self.a[k] = {g: raw[k][g] if g[0] == "<s> " else left[g] for g in raw[k]}
+        self.c = collections.Counter({g[0]: x for g, x in raw[1].items()})
+        self.n, self.v = sum(self.c.values()), len(self.c)
+        hist = lambda xs: [sum(x == i for x in xs) for i in (1, 2, 3, 4)]
+        self.d = {k: lm.discounts(hist(a.values())) for k, a in self.a.items()}
+        self.total, self.mass = collections.Counter(), collections.Counter()
+        for k, a in self.a.items():
+            for g, x in a.items():
+                self.total[g[:-1]] += x
+                self.mass[g[:-1]] += self.cut(k, x)
+
+    def cut(self, k, x):
+        return [0, *self.d[k]][min(x, 3)]
+
+    def prob(self, g):
+        """Of the last of g (of up to order tokens) after the others."""
+        if not g:
+            return 1 / (self.v + 1)
+        a, ctx = self.a[len(g)].get(g, 0), g[:-1]
+        if not self.total[ctx]:
+            return self.prob(g[1:])
+        return max(a - self.cut(len(g), a), 0) / self.total[ctx] + self.mass[ctx] / self.total[ctx] * self.prob(g[1:])
+
+    def score(self, t):
+        x = ["<s> "] * (self.order - 1) + t
+        return sum(math.log10(self.prob(tuple(x[i - self.order + 1 : i + 1]))) for i in range(self.order - 1, len(x)))
+
+
+def held(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+
+
+def check_scores(got, texts, order):
+    """got: rows of the operator; texts: (doc_id, text) of all documents."""
+    tok = [(i, [w.decode() for w in (t or "").encode().lower().split()] + ["</s> "]) for i, t in texts]
+    plain = PlainModel([t for i, t in tok if not held(i)], order)
+    ctx = next(g[:-1] for g in plain.a[order])
+    assert sum(plain.prob((*ctx, w)) for w in plain.c) + plain.prob((*ctx, "?")) == pytest.approx(1)
     by = collections.defaultdict(list)
-    for r in got.collect():
+    for r in got:
         by[r.doc_id].append(r)
     for i, t in tok:
-        r = by[i][0]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(c[w] > 0 for w in t), n, out(i))
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t))
-        assert r.score == pytest.approx(sum(math.log10(prob(h, w)) for h, w in zip([b"<s> ", *t[:-1]], t)))
+        r = next(r for r in by[i] if r.n_tokens == len(t))
+        assert (r.n_known, r.train_tokens, r.held_out) == (sum(plain.c[w] > 0 for w in t), plain.n, held(i))
+        assert r.base_score == pytest.approx(sum(math.log10((plain.c[w] + 1) / (plain.n + plain.v + 1)) for w in t))
+        assert r.score == pytest.approx(plain.score(t), rel=1e-6)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_model_against_plain_counts(docs, rows, order, monkeypatch):
+    """Kneser-Ney by dictionaries; probabilities sum to one. Small batches, so that merges have something to do."""
+    monkeypatch.setattr(lm, "BATCH", 700)
+    monkeypatch.setattr(lm, "CHUNK", 2000)
+    got = lm.score(docs, order=order).collect()
+    assert len(got) == len(rows)
+    check_scores(got, [(r[0], r[1]) for r in rows], order)
+
+
+def test_model_edges(docs, no_docs, rows):
     assert lm.score(no_docs).count() == 0
+    untrained = lm.score(docs.where("doc_id = 2 or doc_id = 9"))  # both or neither may be held out
+    assert untrained.count() == 2
+    none = docs.where(lm.held_out())
+    assert {r.score for r in lm.score(none).collect()} == {0.0}
+
+
+def test_registered_model_against_plain_counts(spark, sf_dir):
+    """The whole documents table, by the registered query."""
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = Q.op4_lm_score(spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    check_scores(got, texts, lm.ORDER)
+
+
+def test_sorted_arrays(spark, tmp_path):
+    """Keys and columns of every stored form come back; others are not found."""
+    import numpy as np
+
+    from quarry.llm import sorted_arrays as S
+
+    r = np.random.Generator(np.random.PCG64(7))
+    for n, shards in ((300_000, 128), (50, 8), (0, 8)):
+        keys = np.unique(r.integers(0, 2**64 // shards, n, np.uint64)) if n else np.zeros(0, np.uint64)
+        n = len(keys)
+        cols = [np.where(r.random(n) < 0.01, 70_000, r.integers(0, 200, n)).astype(np.uint32), np.where(r.random(n) < 0.1, r.random(n), 0.5).astype(np.float32), r.random(n)]
+        (tmp_path / "00000.bin").write_bytes(S._file(keys, cols, shards))
+        a = S.Arrays(str(tmp_path), shards)
+        ask = np.concatenate((r.permutation(keys), keys[:10] ^ np.uint64(1 << 20), keys[:9]))
+        there, got = a.find(ask, ["u4", "f4", "f8"])
+        at = np.searchsorted(keys, ask)
+        at[at == n] = 0
+        want = keys[at] == ask if n else np.zeros(0, bool)
+        assert (there == want).all() and all((g[there] == c[at[there]]).all() and not g[~there].any() for g, c in zip(got, cols))
+        if n > 1000:
+            assert a.shard(0).b and [f for f, _, _ in a.shard(0).columns] == ["byte", "usual", "plain"]
 
 
 def test_toxic_documents_are_found(spark, sf_dir):
