@@ -6,7 +6,9 @@ import json
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,8 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.lit(None).cast("double")).when(n == 0, F.lit(2.0)).otherwise(1 - dot(a, b) / n)
 
 
+#: Vectors compared at once on either side, and pairs whose exact distances are computed at once.
+BLOCK, PAIRS = 1024, 65_536
 METRICS = {"l2": l2, "cosine": cosine_distance, "dot": lambda a, b: -dot(a, b), "l1": l1}
 
 
@@ -110,6 +114,79 @@ def from_blob(c: Column) -> Column:
     return F.arrow_udf(udf, "array<float>")(c)
 
 
+class Queries:
+    """Query vectors and their ids, grouped by size, for a task that looks for their nearest items."""
+
+    def __init__(self, ids: list, rows: list[list[float] | None]):
+        sizes: dict[int, list[int]] = {}
+        for i, v in enumerate(rows):
+            if v and all(x is not None for x in v):
+                sizes.setdefault(len(v), []).append(i)
+        self.ids = ids
+        self.by_size = {n: (np.array(at), np.array([rows[i] for i in at], np.float64)) for n, at in sizes.items()}
+
+    def nearest(self, batches: Iterator[pa.RecordBatch], k: int, metric: str, threshold: float | None) -> Iterator[pa.RecordBatch]:
+        """query_id, rowid, distance: of each batch (rowid, embedding) what is among its k nearest, ties included."""
+        for b in batches:
+            ids, vecs = b.column(0), b.column(1)
+            lengths = pc.fill_null(pc.list_value_length(vecs), -1).to_numpy()
+            starts = vecs.offsets.to_numpy()[:-1]
+            flat = vecs.values.to_numpy(zero_copy_only=False)  # null components are nan
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for n, (which, q) in self.by_size.items():
+                rows = np.flatnonzero(lengths == n)
+                for a in range(0, len(rows), BLOCK):
+                    at = rows[a : a + BLOCK]
+                    x = flat[starts[at][:, None] + np.arange(n)]
+                    ok = np.isfinite(x).all(1)
+                    for i in range(0, len(q), BLOCK) if ok.any() else ():
+                        qi, j, d = self._block(q[i : i + BLOCK], x[ok], k, metric, threshold)
+                        found.append((which[i : i + BLOCK][qi], at[ok][j], d))
+            if found:
+                qs, js, ds = (np.concatenate(c) for c in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array([self.ids[i] for i in qs]), ids.take(pa.array(js)), pa.array(ds)], ["query_id", "rowid", "distance"])
+
+    @staticmethod
+    def _block(q: np.ndarray, x: np.ndarray, k: int, metric: str, threshold: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rough = _rough(q, x, metric)
+        if len(x) > k:
+            kth = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
+            qi, j = np.nonzero(rough <= kth + 1e-6 * (1 + np.abs(kth)))
+        else:
+            qi, j = (y.ravel() for y in np.indices(rough.shape))
+        d = np.concatenate([np.round(_exact(q[qi[i : i + PAIRS]], x[j[i : i + PAIRS]], metric), 9) for i in range(0, len(qi), PAIRS)]) if len(qi) else np.zeros(0)
+        if threshold is not None:
+            keep = d <= threshold
+            qi, j, d = qi[keep], j[keep], d[keep]
+        return qi, j, d + 0.0
+
+
+def _rough(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Distances [queries, items] that order as the metric does, up to rounding; l2 squared."""
+    if metric == "l1":
+        return np.stack([np.abs(x - v).sum(1) for v in q])
+    dots = q @ x.T
+    if metric == "dot":
+        return -dots
+    a, b = (q * q).sum(1)[:, None], (x * x).sum(1)[None]
+    if metric == "l2":
+        return a + b - 2 * dots
+    size = np.sqrt(a) * np.sqrt(b)
+    return np.where(size > 0, 1 - dots / np.where(size > 0, size, 1), 2.0)
+
+
+def _exact(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l1":
+        return np.abs(q - x).sum(1)
+    if metric == "l2":
+        return np.sqrt(((q - x) ** 2).sum(1))
+    dots = (q * x).sum(1)
+    if metric == "dot":
+        return -dots
+    size = np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1))
+    return np.where(size > 0, 1 - dots / np.where(size > 0, size, 1), 2.0)
+
+
 def hash_embedding(text: Column, n: int = 64) -> Column:
     """Deterministic feature hashing of tokens, at length 1: no model, no Python."""
     toks = tokens(text)

@@ -23,19 +23,17 @@ DOMAINS = {
     "personal": "my me personal private own",
 }
 TIMES = {
-    "past": "was were did had yesterday ago last past previous",
-    "future": "will shall going\\ to tomorrow next future plan predict",
-    "present": "is are now currently today present",
+    "past": ["was", "were", "did", "had", "yesterday", "ago", "last", "past", "previous"],
+    "future": ["will", "shall", "going to", "tomorrow", "next", "future", "plan", "predict"],
+    "present": ["is", "are", "now", "currently", "today", "present"],
 }
 SYNONYMS = {
     "find": ["search", "locate", "discover"], "good": ["excellent", "great", "wonderful"],
     "bad": ["poor", "terrible", "awful"], "показать": ["отобразить", "вывести", "представить"],
 }
 SEED_IDF = {"the": 0.1, "and": 0.2, "database": 2.5, "search": 3.0, "algorithm": 4.0}
-SUGGESTIONS = {
-    "vague": "Попробуйте переформулировать запрос более конкретно", "short": "Добавьте дополнительные ключевые слова для более точного поиска",
-    "unknown": "Используйте кавычки для точного поиска фразы", "special": "Удалите специальные символы для лучших результатов",
-}
+#: Codes of what could improve a query.
+SUGGESTIONS = {"vague": "be_more_specific", "short": "add_keywords", "unknown": "quote_the_phrase", "special": "drop_special_characters"}
 LEFT, RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
@@ -51,8 +49,8 @@ class Context:
 
 def any_word(c: Column, words: list[str] | str) -> Column:
     """Does the text have one of the words, as whole ASCII words, in any case?"""
-    words = words.replace("\\ ", "\0").split() if isinstance(words, str) else words
-    return c.rlike(f"(?i){LEFT}(?:{'|'.join(w.replace(chr(0), ' ') for w in words)}){RIGHT}")
+    words = words.split() if isinstance(words, str) else words
+    return c.rlike(f"(?i){LEFT}(?:{'|'.join(words)}){RIGHT}")
 
 
 def normalize_plan(q: Column, unicode: bool = False) -> Column:
@@ -171,7 +169,7 @@ def intent(q: Column, f: Column) -> Column:
     urgency = F.when(any_word(q, "urgent quickly asap immediately now"), "high").when(q.rlike("(?i)when possible|eventually|sometime"), "low").otherwise("medium")
     specificity = F.when((f["word_count"] <= 2) & ~f["has_quotes"], "broad").when(f["has_quotes"] | f["has_numbers"], "precise").otherwise("specific")
 
-    def first(table: dict[str, str], default: str) -> Column:
+    def first(table: dict[str, str | list[str]], default: str) -> Column:
         out = F.lit(default)
         for name, ws in reversed(table.items()):
             out = F.when(any_word(q, ws), name).otherwise(out)
@@ -180,16 +178,22 @@ def intent(q: Column, f: Column) -> Column:
     return F.struct(primary.alias("primary"), F.least(F.lit(1.0), F.greatest(F.lit(0.1), sure)).alias("confidence"), secondary.alias("secondary"), urgency.alias("urgency"), specificity.alias("specificity"), first(DOMAINS, "general").alias("domain"), first(TIMES, "timeless").alias("temporality"))
 
 
-def expansion(q: Column, concepts: dict[str, list[str]] | None = None) -> Column:
-    """struct<original_terms, synonyms, concepts, expanded, confidence>."""
+def expansion(q: Column, concepts: Column | None = None) -> Column:
+    """struct<original_terms, added, synonyms, concepts, expanded, confidence>: each word that has synonyms adds its
+    best one (0.1 each), and new words of over three letters of related queries (concepts, an array<string>, such as
+    related_queries gives) are concepts (0.05 each, at most 3). The expanded query gets two of the first and one of
+    the second."""
     ws = F.split(F.lower(q), r"\s+")
-    as_map = lambda t: F.create_map(*[x for k, v in t.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))]) if t else F.expr("cast(map() as map<string,array<string>>)")
-    syn, con = as_map(SYNONYMS), as_map(concepts or {})
-    pick = lambda m, most: F.flatten(F.transform(ws, lambda w: F.slice(F.coalesce(F.try_element_at(m, w), F.expr("cast(array() as array<string>)")), 1, most)))
-    all_syn, all_con = pick(syn, 10), pick(con, 10)
-    expanded = F.array_distinct(F.concat(ws, pick(syn, 2), pick(con, 1)))
-    sure = F.least(F.lit(1.0), 0.5 + 0.1 * F.size(all_syn) + 0.05 * F.size(all_con))
-    return F.struct(ws.alias("original_terms"), all_syn.alias("synonyms"), all_con.alias("concepts"), expanded.alias("expanded"), sure.alias("confidence"))
+    none = F.expr("cast(array() as array<string>)")
+    syn = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))])
+    known = F.filter(ws, lambda w: F.try_element_at(syn, w).isNotNull())
+    added = F.transform(known, lambda w: F.element_at(F.try_element_at(syn, w), 1))
+    past = none if concepts is None else F.flatten(F.transform(F.coalesce(concepts, F.array()), lambda c: F.split(F.lower(c), r"\s+")))
+    new = F.slice(F.filter(past, lambda w: ~F.array_contains(ws, w) & ~F.array_contains(added, w) & (F.length(w) > 3)), 1, 3)
+    sure = F.least(F.lit(1.0), F.round(0.5 + 0.1 * F.size(added) + 0.05 * F.size(new), 10))
+    all_syn = F.flatten(F.transform(F.array_distinct(known), lambda w: F.try_element_at(syn, w)))
+    expanded = F.concat(ws, F.slice(added, 1, 2), F.slice(new, 1, 1))
+    return F.struct(ws.alias("original_terms"), added.alias("added"), all_syn.alias("synonyms"), new.alias("concepts"), expanded.alias("expanded"), sure.alias("confidence"))
 
 
 ENTITIES = {"DATE": r"\b\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b", "NUMBER": r"\b\d+(?:\.\d+)?\b", "PERSON": r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", "ORGANIZATION": r"\b[A-Z]{2,}\b"}
@@ -229,11 +233,13 @@ def keywords(q: Column, idf: dict[str, float] | None = None, most: int = 10) ->
 
 
 def linguistics(q: Column) -> Column:
-    """struct<language, sentiment, formality, complexity>."""
+    """struct<language, language_confidence, sentiment, formality, complexity>: Russian if any letter is Cyrillic,
+    English if the whole text is of Latin letters, digits, white space and . , ! ?."""
     ws = F.split(q, r"\s+")
     n, mean = F.size(ws), F.aggregate(ws, F.lit(0), lambda a, w: a + F.length(w)) / F.size(ws)
+    ru, en = q.rlike("[\u0400-\u04ff]"), q.rlike(r"^[a-zA-Z\s\d.,!?]+\z")
     return F.struct(
-        F.when(q.rlike("[А-Яа-яЁё]"), "ru").when(q.rlike("[A-Za-z]"), "en").otherwise("unknown").alias("language"),
+        F.when(ru, "ru").when(en, "en").otherwise("unknown").alias("language"), F.when(ru | en, 0.8).otherwise(0.5).alias("language_confidence"),
         F.when(any_word(q, POSITIVE), "positive").when(any_word(q, NEGATIVE), "negative").otherwise("neutral").alias("sentiment"),
         F.when(any_word(q, FORMAL), "formal").when(any_word(q, INFORMAL), "informal").otherwise("mixed").alias("formality"),
         F.when((n <= 3) & (mean <= 5), "simple").when((n > 8) | (mean > 8), "complex").otherwise("moderate").alias("complexity"),

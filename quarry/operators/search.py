@@ -6,13 +6,14 @@ Every operator takes queries as a DataFrame (query_id and what it asks) and carr
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors
+from ..functions import substrings, vectors
 from ..functions.text import ascii_fold, tokens
 from . import match
 from .index import TextIndex
@@ -23,10 +24,15 @@ LIKE_STOP = "the is at which on a an to in for of and or but are was were been b
 LIKE_MIN, LIKE_CAP = 3, 100
 #: Query rows up to this many are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_ROWS = 100_000
+MAX_QUERY_VECTORS = 10_000
+
+
+#: Distinct query terms up to this many are looked up by name; more are joined.
+MAX_NAMED_TERMS = 2_000
 
 
 def _small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it is checked to have at most limit rows."""
+    """df (queries, cheap to count) marked for broadcast if it is checked to have at most limit rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
@@ -45,27 +51,45 @@ def bm25(index: TextIndex, queries: DataFrame, operator: str = "or", restrict: D
     """query_id, rowid, fts_score of the documents that have any (operator "or") or all ("and") of a query's
     tokens; lower is better, as in FTS5. restrict (rowid) filters what is returned; stats_scope "collection"
     makes it the scope of the statistics too. weights by field multiply term frequencies."""
-    terms = _small(bm25_terms(queries))
-    hits = index.postings.join(terms, "term")
+    if operator not in ("or", "and"):
+        raise ValueError(f"unknown operator {operator!r}")
+    asked = bm25_terms(queries)
+    rows = asked.limit(MAX_BROADCAST_ROWS + 1).collect()  # fetched once: they are asked for by name below
+    few = len(rows) <= MAX_BROADCAST_ROWS
+    terms = asked.sparkSession.createDataFrame(rows, asked.schema) if few else asked
+    names = sorted({r.term for r in rows}) if few else []
+    named = few and len(names) <= MAX_NAMED_TERMS
+    pick = (lambda df: index.of(df, names)) if named else (lambda df: df)
+    hits = pick(index.postings)
     scope = restrict if stats_scope == "collection" else None
     if scope is not None:
         hits = hits.join(scope, "rowid", "left_semi")
-    df = hits.select("term", "rowid").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, avgdl = index.stats(scope).first()
+    hits = hits.select("rowid", "term", "tf", "field_tf", "dl").join(F.broadcast(terms) if few else terms, "term")
+    return _scored(index, hits, terms, few, operator, restrict, scope, weights, pick)
+
+
+def _scored(index: TextIndex, hits: DataFrame, terms: DataFrame, few: bool, operator: str, restrict: DataFrame | None, scope: DataFrame | None, weights: dict[str, float] | None, pick: Callable) -> DataFrame:
+    """hits: rowid, term, tf, field_tf, dl, query_id. There are no more idf rows than terms."""
+    if index.frequencies is not None and scope is None:
+        df = pick(index.frequencies).select("term", "df")
+    else:
+        df = hits.select("term", "rowid").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n, avgdl = index.stats(scope).first() if scope is not None else index.totals()
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms_idf = df.select("term", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf).alias("idf"), F.lit(avgdl).alias("avgdl"))
+    known = df.select("term", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf).alias("idf"))
     tf = F.col("tf").cast("double")
     if weights:
         parts = [F.get("field_tf", F.lit(i)) * F.lit(float(weights.get(f, 1.0))) for i, f in enumerate(index.fields)]
         tf = sum(parts[1:], parts[0])
-    rows = hits.join(_small(terms_idf), "term").join(index.lengths, "rowid")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
+    rows = hits.join(F.broadcast(known) if few else known, "term")
+    if restrict is not None and scope is None:
+        rows = rows.join(restrict, "rowid", "left_semi")
     out = rows.groupBy("query_id", "rowid").agg(F.round(-F.sum(part), 9).alias("fts_score"), F.count(F.lit(1)).alias("__n"))  # rounded: ties stay ties whatever the order of the sum
     if operator == "and":
         need = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("__need"))
-        out = out.join(_small(need), "query_id").where(F.col("__n") == F.col("__need")).drop("__need")
-    out = out.drop("__n")
-    return out.join(restrict, "rowid", "left_semi") if restrict is not None else out
+        out = out.join(F.broadcast(need) if few else need, "query_id").where(F.col("__n") == F.col("__need")).drop("__need")
+    return out.drop("__n")
 
 
 def fts(index: TextIndex, query: str, operator: str = "and", restrict: DataFrame | None = None, weights: dict[str, float] | None = None, query_id: int = 0) -> DataFrame:
@@ -78,7 +102,7 @@ def fts(index: TextIndex, query: str, operator: str = "and", restrict: DataFrame
     wanted = F.col("term").isin(exact)
     for p in prefixes:
         wanted = wanted | F.col("term").startswith(p)
-    hits = index.postings.where(wanted)
+    hits = index.postings.where(wanted) if prefixes else index.of(index.postings, exact)
     found = F.collect_list(F.struct("term", "positions"))
     per_doc = hits.groupBy("rowid").agg(found.alias("found"))
     ok = per_doc.where(match.predicate(tree, F.col("found"), index.fields)).select("rowid")
@@ -90,42 +114,35 @@ def fts(index: TextIndex, query: str, operator: str = "and", restrict: DataFrame
     key = F.col("term")
     for p in lead:
         key = F.when(F.col("term").startswith(p) & ~F.col("term").isin(scored), F.lit(p + "*")).otherwise(key)
-    merged = hits.where(counts).withColumn("term", key).groupBy("rowid", "term").agg(F.sum("tf").alias("tf"), F.array(*[F.sum(F.get("field_tf", F.lit(i))) for i in range(len(index.fields))]).alias("field_tf"))
+    merged = hits.where(counts).withColumn("term", key).groupBy("rowid", "term").agg(F.sum("tf").alias("tf"), F.array(*[F.sum(F.get("field_tf", F.lit(i))) for i in range(len(index.fields))]).alias("field_tf"), F.first("dl").alias("dl"))
     names = [*scored, *[p + "*" for p in lead]]
-    view = TextIndex(merged, index.lengths, index.fields)
     asked = spark.createDataFrame([(query_id, t) for t in names], "query_id long, term string")
-    return _bm25_of(view, asked, ok if restrict is None else ok.join(restrict, "rowid", "left_semi"), weights)
-
-
-def _bm25_of(index: TextIndex, terms: DataFrame, restrict: DataFrame, weights: dict[str, float] | None) -> DataFrame:
-    hits = index.postings.join(_small(terms), "term")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, avgdl = index.stats().first()
-    idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = df.select("term", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf).alias("idf"), F.lit(avgdl).alias("avgdl"))
-    tf = F.col("tf").cast("double")
-    if weights:
-        parts = [F.get("field_tf", F.lit(i)) * F.lit(float(weights.get(f, 1.0))) for i, f in enumerate(index.fields)]
-        tf = sum(parts[1:], parts[0])
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    rows = hits.join(restrict, "rowid", "left_semi").join(_small(known), "term").join(index.lengths, "rowid")
-    return rows.groupBy("query_id", "rowid").agg(F.round(-F.sum(part), 9).alias("fts_score"))
+    view = TextIndex(merged, index.lengths, index.fields, _stats=list(index.totals()))
+    rows = merged.join(F.broadcast(asked), "term")
+    return _scored(view, rows, asked, True, "or", ok if restrict is None else ok.join(restrict, "rowid", "left_semi"), None, weights, lambda df: df)
 
 
-def knn(items: DataFrame, queries: DataFrame, k: int | Column = 10, metric: str = "l2", threshold: float | None = None, restrict: DataFrame | None = None, prefilter: bool = True) -> DataFrame:
+def knn(items: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", threshold: float | None = None, restrict: DataFrame | None = None, prefilter: bool = True) -> DataFrame:
     """query_id, rowid, distance of the k nearest items (rowid, embedding) of each query (query_id, vector),
-    exactly: queries go to where the vectors are, a task keeps k for each query, and only those move.
-    prefilter=False takes the k nearest of all items and filters afterwards, so fewer may be left."""
-    f = vectors.METRICS[metric]
-    asked = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
-    if asked.limit(MAX_BROADCAST_ROWS + 1).count() > MAX_BROADCAST_ROWS:
-        raise ValueError(f"more than {MAX_BROADCAST_ROWS} queries; ask in blocks")
+    exactly: queries go to where the vectors are, a task compares them by blocks (one matrix product finds the
+    candidates, whose distances are then computed one by one) and keeps k for each query, and only those move.
+    Vectors of other sizes than the query's, null ones and null components match nothing. prefilter=False takes the
+    k nearest of all items and filters afterwards, so fewer may be left."""
+    if metric not in vectors.METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where(F.col("vector").isNotNull())
+    rows = asked.limit(MAX_QUERY_VECTORS + 1).toArrow()
+    if rows.num_rows > MAX_QUERY_VECTORS:
+        raise ValueError(f"more than {MAX_QUERY_VECTORS} queries; ask in blocks")
     if restrict is not None and prefilter:
         items = items.join(restrict, "rowid", "left_semi")
-    near = items.select("rowid", "embedding").join(F.broadcast(asked), F.size("embedding") == F.size("vector"))
-    near = near.select("query_id", "rowid", F.round(f(F.col("embedding"), F.col("vector")), 9).alias("distance")).where(F.col("distance").isNotNull())
-    if threshold is not None:
-        near = near.where(F.col("distance") <= threshold)
+    kinds = dict(asked.dtypes)["query_id"], dict(items.select("rowid").dtypes)["rowid"]
+    shared = items.sparkSession.sparkContext.broadcast(vectors.Queries(rows.column(0).to_pylist(), rows.column(1).to_pylist()))  # counted above
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return shared.value.nearest(batches, k, metric, threshold)
+
+    near = items.select("rowid", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(task, f"query_id {kinds[0]}, rowid {kinds[1]}, distance double")
     near = top(near, k, F.col("distance"), F.col("rowid"))
     return near.join(restrict, "rowid", "left_semi") if restrict is not None and not prefilter else near
 
@@ -145,16 +162,20 @@ def like_skip_column(text: Column) -> Column:
 
 def like(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """query_id, rowid, like_rank (from 0) of documents (rowid, title, content) that contain a query's text,
-    A-Z in any case: title hits first, then by place, then shorter ones; at most min(2 limit, 100)."""
+    A-Z in any case: title hits first, then by place, then shorter ones; at most min(2 limit, 100). One automaton
+    of all queries reads each text once, however many queries there are."""
     asked = queries.where(like_skip_column(F.col("text")).isNull()).select("query_id", ascii_fold(F.trim("text")).alias("needle"))
     if asked.limit(MAX_BROADCAST_ROWS + 1).count() > MAX_BROADCAST_ROWS:
         raise ValueError(f"more than {MAX_BROADCAST_ROWS} queries; ask in blocks")
-    title, content = ascii_fold(F.col("title")), ascii_fold(F.col("content"))
-    d = docs.select("rowid", title.alias("t"), content.alias("c"))
-    in_title = F.coalesce(F.contains("t", "needle"), F.lit(False))
-    hits = d.join(F.broadcast(asked), in_title | F.contains("c", "needle"))
-    place = F.coalesce(F.expr("instr(t, needle)"), F.expr("instr(c, needle)"))
-    hits = hits.select("query_id", "rowid", F.when(in_title, 1).otherwise(2).alias("cls"), place.alias("place"), F.length("c").alias("len"))
+    rows = asked.collect()  # counted above
+    kinds = dict(asked.dtypes)["query_id"], dict(docs.select("rowid").dtypes)["rowid"]
+    shared = docs.sparkSession.sparkContext.broadcast([(r.query_id, r.needle) for r in rows])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return substrings.find(shared.value, batches)
+
+    d = docs.select("rowid", ascii_fold(F.col("title")).alias("t"), ascii_fold(F.col("content")).alias("c"))
+    hits = d.mapInArrow(task, f"query_id {kinds[0]}, rowid {kinds[1]}, cls int, place int, len int")
     w = Window.partitionBy("query_id").orderBy("cls", "place", "len", "rowid")
     return hits.withColumn("like_rank", F.row_number().over(w) - 1).where(F.col("like_rank") < min(2 * limit, LIKE_CAP)).select("query_id", "rowid", "like_rank")
 
@@ -214,11 +235,11 @@ def fuse(fts_hits: DataFrame | None = None, vec_hits: DataFrame | None = None, l
     return out if limit is None else top(out, limit, F.desc("score"), F.col("rowid"))
 
 
-def attach(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """hits with the documents' columns; likeScore from like_rank."""
+def attach(hits: DataFrame, docs: DataFrame, most: int | None = None) -> DataFrame:
+    """hits with the documents' columns; likeScore from like_rank. most: how many hits there are at most, if known."""
     like_score = F.when(F.col("like_rank") >= 0, 1.0 / (1 + F.col("like_rank")))
     rows = hits.withColumn("like_score", like_score) if "like_rank" in hits.columns else hits
-    return docs.join(_small(rows), "rowid")
+    return docs.join(_small(rows) if most is None or most > MAX_BROADCAST_ROWS else F.broadcast(rows), "rowid")
 
 
 @dataclass
@@ -228,25 +249,27 @@ class SearchResult:
 
 
 def search(docs: DataFrame, index: TextIndex | None, items: DataFrame | None, queries: DataFrame, limit: int = 10, method: str = "rrf", weights: Weights | None = None,
-           enable_like: bool = False, operator: str | None = None, metric: str = "l2", restrict: DataFrame | None = None, prefilter: bool = True) -> SearchResult:
-    """Search by what queries hold: text, vector or both. Text alone matches any word; with vectors all words."""
+           enable_like: bool = False, operator: str | None = None, metric: str = "l2", restrict: DataFrame | None = None, prefilter: bool = True,
+           rrf_k: int = RRF_K, custom: Callable[..., Column] | None = None, field_weights: dict[str, float] | None = None, threshold: float | None = None) -> SearchResult:
+    """Search by what queries hold: text, vector or both. Text alone matches any word; with vectors all words.
+    rrf_k and custom reach the fusion, field_weights the text channel, threshold (a distance) the vector channel."""
     has_text, has_vec = "text" in queries.columns and index is not None, "vector" in queries.columns and items is not None
     if not has_text and not has_vec:
         raise ValueError("a search needs a text or a vector")
     operator = operator or ("and" if has_vec else "or")
     f = v = None
     if has_text:
-        f = top(bm25(index, queries, operator, restrict), limit, F.col("fts_score"), F.col("rowid"))
+        f = top(bm25(index, queries, operator, restrict, weights=field_weights), limit, F.col("fts_score"), F.col("rowid"))
     if has_vec:
-        v = knn(items, queries, limit, metric, restrict=restrict, prefilter=prefilter)
+        v = knn(items, queries, limit, metric, threshold, restrict, prefilter)
     li = like(docs if restrict is None else docs.join(restrict, "rowid", "left_semi"), queries, limit) if has_text and enable_like else None
-    debug = {"method": method, "channels": [n for n, x in (("fts", f), ("vec", v), ("like", li)) if x is not None], "operator": operator}
+    debug = {"method": method, "channels": [n for n, x in (("fts", f), ("vec", v), ("like", li)) if x is not None], "operator": operator, "limit": limit, "like": li is not None, "fusion": len([x for x in (f, v, li) if x is not None]) > 1}
     if f is not None and v is None and li is None:
         hits = f.select("query_id", "rowid", (-F.col("fts_score")).alias("score"), "fts_score", F.lit(0.0).alias("vec_score"), F.lit(-1).alias("like_rank"))
     elif v is not None and f is None:
         hits = v.select("query_id", "rowid", (1 / (1 + F.col("distance"))).alias("score"), F.lit(0.0).alias("fts_score"), F.col("distance").alias("vec_score"), F.lit(-1).alias("like_rank"))
     else:
-        hits = fuse(f, v, li, method, limit, weights)
+        hits = fuse(f, v, li, method, limit, weights, rrf_k, custom)
     return SearchResult(hits, debug)
 
 

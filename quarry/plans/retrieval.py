@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors
 from ..operators import filters, index, queryplan, rerank, results, search
+from ..workspace import fresh_path
 from .relational import read
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -43,8 +44,17 @@ def both_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_queries(spark, sf_dir, 2, 1).join(vector_queries(spark, sf_dir), "query_id")
 
 
+_INDEXES: dict[tuple[str, str], index.TextIndex] = {}
+
+
 def content_index(spark: SparkSession, sf_dir: str) -> index.TextIndex:
-    return index.build(corpus(spark, sf_dir), ("content",))
+    """The documents' index, written once for an application and folder and read from then on."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        path = fresh_path(spark, "content-index")
+        index.build(corpus(spark, sf_dir), ("content",)).write(path)
+        _INDEXES[key] = index.TextIndex.read(spark, path, ("content",))
+    return _INDEXES[key]
 
 
 TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -351,7 +361,7 @@ def plan_advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and advanced analysis together, with intent, keywords, entities, expansion and suggestions."""
     q = queryplan.combine(query_rows(spark, sf_dir))
     c = F.col("query")
-    return q.select("query_id", "final_strategy", F.round("final_confidence", 6).alias("final_confidence"), "intent.primary", "intent.urgency", "intent.specificity", "intent.domain", "intent.temporality", F.size(queryplan.entities(c)).alias("entities"), F.get(queryplan.keywords(c), F.lit(0))["word"].alias("top_keyword"), F.size(queryplan.expansion(c)["expanded"]).alias("expanded"), F.size(queryplan.suggestions(F.col("confidence"), F.col("features"), F.col("query_type"))).alias("suggestions"), queryplan.linguistics(c)["language"].alias("language"))
+    return q.select("query_id", "final_strategy", F.round("final_confidence", 6).alias("final_confidence"), "intent.primary", "intent.urgency", "intent.specificity", "intent.domain", "intent.temporality", F.size(queryplan.entities(c)).alias("entities"), F.get(queryplan.keywords(c), F.lit(0))["word"].alias("top_keyword"), F.size(queryplan.expansion(c)["expanded"]).alias("expanded"), F.round(queryplan.expansion(c)["confidence"], 6).alias("expansion_confidence"), F.size(queryplan.suggestions(F.col("confidence"), F.col("features"), F.col("query_type"))).alias("suggestions"), queryplan.linguistics(c)["language"].alias("language"), F.round(queryplan.linguistics(c)["language_confidence"], 6).alias("language_confidence"))
 
 
 def page_text(f: Callable, name: str = "value") -> Run:

@@ -1,22 +1,35 @@
-"""The engine: a folder of tables, SQL, documents with their index, snapshots.
-
-A table is a folder of Parquet versions; CURRENT names the version in use. Writers make a new version and then
-move CURRENT, so readers see a whole table and never one that is being written.
+"""The engine: a folder of tables, SQL, documents with their index, search, snapshots.
+
+A table is a folder of parts (folders of Parquet files) and of numbered manifests; the manifest with the
+highest number names the parts in use, the schema and what to leave out of each part. A writer writes
+its parts and then renames a finished manifest to the next number, which fails if another writer was
+faster: readers see a whole table and never one that is being written, and a crash at any point leaves
+the table as it was. Appending adds a part; replacing a collection's documents writes only that
+collection; tables of many parts are rewritten as one.
+
+The full-text index is maintained by every change of documents: postings of new documents are appended
+with a sequence number, replaced ones are listed as dead up to a number, and document frequencies are
+kept as sums of additions and removals. It names the documents' manifest it belongs to, so after a
+crash between the two it is rebuilt.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import vectors
 from ..operators import index as text_index
+from ..operators import filters, match, search
 from ..operators import queue as work_queue
 
 SCHEMA_VERSION = 4
@@ -26,6 +39,10 @@ VECTORS = "rowid long, embedding array<float>"
 NAME = re.compile(r"[A-Za-z0-9_-]{1,64}\Z")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{0,127}\Z")
 MAX_METADATA = 1 << 20
+#: Parts after which a table is rewritten as one.
+MAX_PARTS = 32
+FIELDS = ("title", "content", "metadata")
+POSTINGS = "rowid long, term string, tf long, positions array<struct<field:int,pos:int>>, field_tf array<long>, dl long, seq long, bucket int"
 
 
 def errors(metadata_limit: int = MAX_METADATA) -> Column:
@@ -64,6 +81,25 @@ def check_threshold(x: float) -> float:
     return x
 
 
+def text_words(text: str | None) -> list[str]:
+    """The words that full-text search would look for."""
+    return match.split_terms(text or "")
+
+
+def _commas(text: str) -> list[str]:
+    """text split at commas outside quotes and brackets."""
+    out, depth, quoted, last = [], 0, False, 0
+    for i, c in enumerate(text):
+        if c == "'":
+            quoted = not quoted
+        elif not quoted:
+            depth += (c in "([") - (c in ")]")
+            if c == "," and depth == 0:
+                out.append(text[last:i])
+                last = i + 1
+    return [*out, text[last:]]
+
+
 def optimal_batch_size(docs: DataFrame, cache_bytes: int = 8 << 20) -> int:
     """Between 5 and 50 by the mean size of documents; 10 for none."""
     size = F.length(F.coalesce("content", F.lit(""))) * 5 + F.length(F.coalesce("title", F.lit(""))) + F.length(F.coalesce("metadata", F.lit("")))
@@ -109,15 +145,33 @@ class Statement:
             yield self.as_dict()
 
 
+MANIFEST = re.compile(r"(\d{12})\.json\Z")
+
+
+def _extra(manifest: dict) -> dict:
+    return {k: v for k, v in manifest.items() if k not in ("schema", "by", "parts", "number")}
+
+
+@dataclass
+class Changed:
+    """What a statement did: rows modified, and the rows it returns."""
+
+    rows_modified: int
+    returned: DataFrame | None = None
+
+
 class Engine:
     """Tables below path, reachable by SQL under their names."""
 
     BASE = {"documents": DOCUMENTS, "collections": COLLECTIONS, "vectors": VECTORS, "queue": work_queue.SCHEMA}
+    PARTITIONS = {"documents": ["collection"], "fts_postings": ["bucket"]}
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = text_index.BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self.fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._opened: tuple[int, text_index.TextIndex] | None = None
+        self._current = False
         self.init_schema()
 
     # files
@@ -125,57 +179,132 @@ class Engine:
     def _exists(self, p: str) -> bool:
         return self.fs.exists(self.fs_path(p))
 
-    def _current(self, name: str) -> str | None:
-        p = f"{self.path}/{name}/CURRENT"
-        if not self._exists(p):
-            return None
-        return self.spark.read.text(p).first()[0]
+    def _names(self, p: str) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self.fs_path(p))] if self._exists(p) else []
+
+    def _numbers(self, name: str) -> list[int]:
+        """The numbers of a table's manifests, ascending."""
+        return sorted(int(m[1]) for x in self._names(f"{self.path}/{name}/manifests") if (m := MANIFEST.match(x)))
 
-    def _publish(self, name: str, version: str) -> None:
-        tmp, final = f"{self.path}/{name}/.{version}", f"{self.path}/{name}/CURRENT"
+    def _manifest(self, name: str) -> dict | None:
+        have = self._numbers(name)
+        if not have:
+            return None
+        return json.loads(self._read(f"{self.path}/{name}/manifests/{have[-1]:012d}.json")) | {"number": have[-1]}
+
+    def _read(self, p: str) -> str:
+        f = self.fs.open(self.fs_path(p))
+        try:
+            return bytes(f.readAllBytes()).decode()
+        finally:
+            f.close()
+
+    def _rename(self, old: str, new: str) -> None:
+        """Fails if new exists."""
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(self.fs_path(old), self.fs_path(new), self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+
+    def _publish(self, name: str, manifest: dict, before: dict | None, keep: int = 2) -> None:
+        """Make manifest the table's next one after ``before``; of older ones and their parts, ``keep`` - 1 stay for
+        readers at work."""
+        folder, number = f"{self.path}/{name}/manifests", (before["number"] if before else 0) + 1
+        tmp = f"{folder}/.{uuid.uuid4().hex}"
         out = self.fs.create(self.fs_path(tmp), True)
-        out.write(bytearray(version.encode()))
+        out.write(bytearray(json.dumps({k: v for k, v in manifest.items() if k != "number"}).encode()))
         out.close()
-        self.fs.delete(self.fs_path(final), False)
-        self.fs.rename(self.fs_path(tmp), self.fs_path(final))
+        try:
+            self._rename(tmp, f"{folder}/{number:012d}.json")
+        except Exception as e:
+            self.fs.delete(self.fs_path(tmp), False)
+            raise RuntimeError(f"table {name} was changed by another writer") from e
+        numbers = self._numbers(name)
+        parts = lambda n: {p["dir"] for p in json.loads(self._read(f"{folder}/{n:012d}.json"))["parts"]}
+        used = set().union(*(parts(n) for n in numbers[-keep:]))
+        for n in numbers[:-keep]:
+            for d in parts(n) - used:
+                self.fs.delete(self.fs_path(f"{self.path}/{name}/{d}"), True)
+            self.fs.delete(self.fs_path(f"{folder}/{n:012d}.json"), False)
+
+    def _part(self, name: str, df: DataFrame, by: list[str]) -> str:
+        part = f"__part={uuid.uuid4().hex}"
+        (df.write.partitionBy(*by) if by else df.write).parquet(f"{self.path}/{check_identifier(name)}/{part}")
+        return part
 
     # tables
 
     def init_schema(self) -> None:
+        """Make the base tables that are missing. A folder with any manifest is a table, never made anew."""
         for name, schema in self.BASE.items():
-            if self._current(name) is None:
+            if not self._numbers(name):
                 self.write(name, self.spark.createDataFrame([], schema))
         if self.table("collections").isEmpty():
             self.create_collection("default")
 
     def tables(self) -> list[str]:
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(self.fs_path(self.path)) if s.isDirectory() and self._exists(f"{s.getPath()}/CURRENT"))
+        return sorted(n for n in self._names(self.path) if not n.startswith((".", "_")) and self._numbers(n))
 
     def table(self, name: str) -> DataFrame:
-        version = self._current(check_identifier(name))
-        if version is None:
+        m = self._manifest(check_identifier(name))
+        if m is None:
             raise ValueError(f"no table {name}")
-        return self.spark.read.parquet(f"{self.path}/{name}/{version}")
-
-    def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None, keep: int = 2) -> DataFrame:
+        return self._rows(name, m)
+
+    def _rows(self, name: str, m: dict) -> DataFrame:
+        schema = StructType.fromJson(m["schema"])
+        whole = [f"{self.path}/{name}/{p['dir']}" for p in m["parts"] if not p["without"]]
+        # parts are partitions of the table's folder, beside those that they have themselves
+        read = lambda paths: self.spark.read.option("basePath", f"{self.path}/{name}").schema(schema).parquet(*paths).select(*schema.names)
+        found = [read(whole)] if whole else []
+        for p in m["parts"]:
+            if p["without"]:  # values of the first partition column: their files are not read
+                by = F.col(m["by"][0])
+                found.append(read([f"{self.path}/{name}/{p['dir']}"]).where(~by.isin(p["without"]) | by.isNull()))
+        out = found[0]
+        for x in found[1:]:
+            out = out.unionByName(x)
+        return out
+
+    def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None, keep: int = 2, **extra: Any) -> DataFrame:
         """df as the table's new version; the ``keep`` latest versions stay for readers at work."""
-        version = f"v{uuid.uuid4().hex}"
-        w = df.write
-        (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{self.path}/{check_identifier(name)}/{version}")
-        self._publish(name, version)
-        old = sorted((s for s in self.fs.listStatus(self.fs_path(f"{self.path}/{name}")) if s.isDirectory() and s.getPath().getName() != version), key=lambda s: -s.getModificationTime())
-        for s in old[keep - 1 :]:
-            self.fs.delete(s.getPath(), True)
+        before, by = self._manifest(check_identifier(name)), partition_by or self.PARTITIONS.get(name, [])
+        part = self._part(name, df, by)
+        self._publish(name, {"schema": json.loads(df.schema.json()), "by": by, "parts": [{"dir": part, "without": []}], **extra}, before, keep)
         return self.table(name)
 
-    def append(self, name: str, df: DataFrame) -> DataFrame:
-        """Add rows; columns that either side lacks are null (schema evolution)."""
-        if self._current(name) is None:
-            return self.write(name, df)
-        return self.write(name, self.table(name).unionByName(df, allowMissingColumns=True))
+    def append(self, name: str, df: DataFrame, **extra: Any) -> DataFrame:
+        """Add rows as a part of their own; columns that either side lacks are null (schema evolution)."""
+        m = self._manifest(check_identifier(name))
+        if m is None:
+            return self.write(name, df, **extra)
+        old = StructType.fromJson(m["schema"])
+        if len(m["parts"]) >= MAX_PARTS:
+            return self.write(name, self._rows(name, m).unionByName(df, allowMissingColumns=True), m["by"], **{**_extra(m), **extra})
+        df = df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in old], *[c for c in df.columns if c not in old.names])
+        part = self._part(name, df, m["by"])
+        self._publish(name, {**m, **extra, "schema": json.loads(df.schema.json()), "parts": [*m["parts"], {"dir": part, "without": []}]}, m)
+        return self.table(name)
+
+    def replace(self, name: str, df: DataFrame, values: list[str], **extra: Any) -> DataFrame:
+        """df as all rows of these values of the table's first partition column; other rows are not touched."""
+        m = self._manifest(name)
+        if len(m["parts"]) >= MAX_PARTS:
+            return self.write(name, self._rows(name, m).where(~F.col(m["by"][0]).isin(values)).unionByName(df), m["by"], **{**_extra(m), **extra})
+        part = self._part(name, df.select(*StructType.fromJson(m["schema"]).names), m["by"])
+        old = [{"dir": p["dir"], "without": sorted({*p["without"], *values})} for p in m["parts"]]
+        self._publish(name, {**m, **extra, "parts": [*old, {"dir": part, "without": []}]}, m)
+        return self.table(name)
 
     def add_column(self, name: str, column: str, kind: str) -> DataFrame:
-        return self.write(name, self.table(name).withColumn(check_identifier(column), F.lit(None).cast(kind)))
+        """A new column, null in the rows there are: only the manifest changes."""
+        m = self._manifest(check_identifier(name))
+        schema = StructType.fromJson(m["schema"]).add(check_identifier(column), kind)
+        self._publish(name, {**m, "schema": json.loads(schema.json())}, m)
+        return self.table(name)
+
+    def compact(self, name: str) -> DataFrame:
+        m = self._manifest(name)
+        return self.write(name, self._rows(name, m), m["by"], **_extra(m))
 
     def drop(self, name: str) -> None:
         self.fs.delete(self.fs_path(f"{self.path}/{check_identifier(name)}"), True)
@@ -191,10 +320,75 @@ class Engine:
         """Any query over the tables, with named (:x) or positional (?) parameters."""
         if not isinstance(text, str) or not text.strip():
             raise ValueError("a query is a non-empty string")
+        self._views(text)
+        return self.spark.sql(text, args) if args else self.spark.sql(text)
+
+    def _views(self, text: str) -> None:
         for name in self.tables():
             if re.search(rf"\b{re.escape(name)}\b", text):
                 self.table(name).createOrReplaceTempView(name)
-        return self.spark.sql(text, args) if args else self.spark.sql(text)
+
+    def execute(self, text: str, args: dict[str, Any] | list | None = None) -> Changed:
+        """INSERT INTO t [(columns)] VALUES ... or SELECT ..., UPDATE t SET c = e, ... [WHERE ...], or DELETE FROM t
+        [WHERE ...], each with [RETURNING expressions]; parameters as in sql(). Documents change through their own
+        methods, which keep the index."""
+        text = text.strip().rstrip(";").strip()
+        if isinstance(args, list):  # positions become names, so that a clause may be used twice
+            parts = re.split(r"('(?:[^']|'')*')|\?", text)
+            names = iter(range(len(args)))
+            text = "".join(p if p is not None else f":_p{next(names)}" for p in parts)
+            args = {f"_p{i}": v for i, v in enumerate(args)}
+        m = re.match(r"(?is)(insert\s+into|update|delete\s+from)\s+([A-Za-z_]\w*)\s*(.*?)(?:\s+returning\s+(.+))?\Z", text)
+        if not m:
+            raise ValueError("a change is INSERT INTO, UPDATE or DELETE FROM")
+        verb, name, rest, returning = m[1].split()[0].lower(), m[2], m[3], m[4]
+        if name == "documents" or name.startswith("fts_"):
+            raise ValueError(f"{name} changes by upsert_documents and delete_documents")
+        old, view = self.table(name), f"_{name}_{uuid.uuid4().hex[:8]}"
+        ask = lambda q: self.spark.sql(q, args or {})
+        if verb == "insert":
+            i = re.match(r"(?is)\(([^()]*)\)\s*((?:values|select|with)\b.*)\Z", rest)
+            columns, source = ([c.strip() for c in i[1].split(",")], i[2]) if i else (old.columns, rest)
+            self._views(source)
+            got = ask(source)
+            if len(got.columns) != len(columns):
+                raise ValueError(f"{len(columns)} columns, {len(got.columns)} values")
+            new = got.toDF(*columns)
+            kinds = {f.name: f.dataType for f in old.schema}
+            new = new.select(*[F.col(c).cast(kinds[c]) if c in columns else F.lit(None).cast(kinds[c]).alias(c) for c in old.columns])
+            new = self._settled(new)
+            self.append(name, new)
+            changed, left = new, None
+        else:
+            old.createOrReplaceTempView(view)
+            u = re.match(r"(?is)set\s+(.*?)(?:\s+where\s+(.*))?\Z" if verb == "update" else r"(?is)()(?:where\s+(.*))?\Z", rest)
+            if not u:
+                raise ValueError(f"no such change: {text!r}")
+            hit = f"coalesce(({u[2]}), false)" if u[2] else "true"
+            if verb == "delete":
+                changed, left = self._settled(ask(f"SELECT * FROM {view} WHERE {hit}")), ask(f"SELECT * FROM {view} WHERE NOT {hit}")
+            else:
+                put = dict(re.match(r"(?is)\s*`?(\w+)`?\s*=\s*(.+?)\s*\Z", x).groups() for x in _commas(u[1]))
+                for c in put:
+                    if c not in old.columns:
+                        raise ValueError(f"table {name} has no column {c}")
+                kinds = {f.name: f.dataType.simpleString() for f in old.schema}
+                made = ", ".join(f"CAST({put[c]} AS {kinds[c]}) AS `{c}`" if c in put else f"`{c}`" for c in old.columns)
+                changed, left = self._settled(ask(f"SELECT {made} FROM {view} WHERE {hit}")), ask(f"SELECT * FROM {view} WHERE NOT {hit}")
+                left = left.unionByName(changed)
+            self.write(name, left, self._manifest(name)["by"])
+            self.spark.catalog.dropTempView(view)
+        out = None
+        if returning:
+            changed.createOrReplaceTempView(view)
+            out = ask(f"SELECT {returning} FROM {view}")
+        return Changed(changed.count(), out)
+
+    def _settled(self, df: DataFrame) -> DataFrame:
+        """df written below the engine's folder, so that what a statement returns is what it stored."""
+        path = f"{self.path}/_work/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def prepare(self, text: str) -> Statement:
         return Statement(self, text)
@@ -244,39 +438,171 @@ class Engine:
         rows = rows.withColumn("errors", errors())
         known = self.table("collections").select(F.col("name").alias("collection"))
         rejected = rows.where(F.size("errors") > 0).unionByName(rows.where(F.size("errors") == 0).join(known, "collection", "left_anti").withColumn("errors", F.array(F.lit("unknown collection"))).select(*rows.columns))
-        good = rows.where(F.size("errors") == 0).drop("errors").join(known, "collection", "left_semi").withColumn("__at", F.monotonically_increasing_id())
+        # the order of rows is that of the input: numbered before any join
+        good = rows.withColumn("__at", F.monotonically_increasing_id()).where(F.size("errors") == 0).drop("errors").join(F.broadcast(known), "collection", "left_semi")
         good = good.withColumn("id", F.coalesce(F.trim("id"), F.concat(F.lit("doc_"), F.sha2(F.concat_ws("\0", "collection", "title", "content"), 256))))
         last = good.withColumn("__n", F.row_number().over(Window.partitionBy("collection", "id").orderBy(F.desc("__at")))).where("__n = 1").drop("__n", "__at")
-        old = self.table("documents")
+        last = self._settled(last.withColumn("rowid", F.xxhash64("collection", "id")))
         key = ["collection", "id"]
-        before = old.select(*key, F.col("created_at").alias("__c"))
-        new = last.join(before, key, "left").select(
-            F.xxhash64("collection", "id").alias("rowid"), "id", "title", "content", "collection", "metadata", F.coalesce("__c", F.lit(now)).cast("long").alias("created_at"), F.lit(now).cast("long").alias("updated_at")
+        touched = [r.collection for r in last.select("collection").distinct().collect()]  # collections, not documents
+        old = self.table("documents").where(F.col("collection").isin(touched))
+        before = self._settled(old.join(last.select(*key), key, "left_semi").select(*key, "rowid", F.col("created_at").alias("__c")))
+        new = last.join(before.drop("rowid"), key, "left").select(
+            "rowid", "id", "title", "content", "collection", "metadata", F.coalesce("__c", F.lit(now)).cast("long").alias("created_at"), F.lit(now).cast("long").alias("updated_at")
         )
-        kept = old.join(last.select(*key), key, "left_anti").select(*old.columns)
-        return self.write("documents", kept.unionByName(new)), rejected
+        clash = [r.collection for r in before.select("collection").distinct().collect()]
+        self._index_is_current()
+        if clash:  # collections with replaced documents are written anew, the others only get a part
+            kept = old.where(F.col("collection").isin(clash)).join(before.select(*key), key, "left_anti").select(*old.columns)
+            self.replace("documents", kept.unionByName(new.where(F.col("collection").isin(clash))), clash)
+            if len(clash) < len(touched):
+                self.append("documents", new.where(~F.col("collection").isin(clash)))
+        else:
+            self.append("documents", new)
+        self._reindex(new, before.select("rowid"))
+        return self.table("documents"), rejected
+
+    def verify_documents(self, docs: DataFrame, collection: str = "default") -> DataFrame:
+        """collection, id, in_documents, in_index of each of docs (id, collection): what an insert has left undone."""
+        asked = docs.select(F.coalesce(F.col("collection") if "collection" in docs.columns else F.lit(None).cast("string"), F.lit(collection)).alias("collection"), F.trim("id").alias("id")).distinct()
+        have = self.table("documents").select("collection", "id", "rowid", F.lit(True).alias("__d"))
+        lengths = self.index().lengths.select("rowid", F.lit(True).alias("__i"))
+        out = asked.join(have, ["collection", "id"], "left").join(lengths, "rowid", "left")
+        return out.select("collection", "id", F.coalesce("__d", F.lit(False)).alias("in_documents"), F.coalesce("__i", F.lit(False)).alias("in_index"))
 
     def delete_documents(self, keys: DataFrame) -> int:
-        old = self.table("documents")
-        gone = old.join(keys.select("collection", "id"), ["collection", "id"], "left_semi")
+        keys = keys.select("collection", "id").distinct()
+        touched = [r.collection for r in keys.select("collection").distinct().collect()]
+        old = self.table("documents").where(F.col("collection").isin(touched))
+        gone = self._settled(old.join(keys, ["collection", "id"], "left_semi").select("rowid"))
         n = gone.count()
-        v = self.table("vectors").join(gone.select("rowid"), "rowid", "left_anti")
-        self.write("vectors", v)
-        self.write("documents", old.join(keys.select("collection", "id"), ["collection", "id"], "left_anti").select(*old.columns))
+        if n:
+            self._index_is_current()
+            self.write("vectors", self.table("vectors").join(gone, "rowid", "left_anti"))
+            self.replace("documents", old.join(keys, ["collection", "id"], "left_anti").select(*old.columns), touched)
+            self._reindex(None, gone)
         return n
 
+    # full-text index
+
+    def _index_is_current(self) -> bool:
+        """Does the index belong to the documents as they are? Remembered for the change that follows."""
+        m = self._manifest("fts_lengths")
+        self._current = m is not None and m.get("documents") == self._manifest("documents")["number"]
+        return self._current
+
     def build_index(self) -> text_index.TextIndex:
-        ix = text_index.build(self.table("documents"))
-        ix.write(f"{self.path}/_index")
-        return text_index.TextIndex.read(self.spark, f"{self.path}/_index", ix.fields)
+        """The whole index anew; it is also what compacts it."""
+        docs = self._manifest("documents")["number"]
+        ix = text_index.build(self.table("documents"), FIELDS)
+        self.write("fts_postings", text_index.layout(ix.postings.withColumn("seq", F.lit(0).cast("long")), self.buckets).select(*[x.split()[0] for x in POSTINGS.split(", ")]))
+        self.write("fts_terms", text_index.layout(text_index.frequencies(self.table("fts_postings")), self.buckets, False), ["bucket"])
+        self.write("fts_dead", self.spark.createDataFrame([], "rowid long, seq long"))
+        by_rowid = self.table("documents").select("rowid", "collection")
+        self.write("fts_lengths", ix.lengths.join(by_rowid, "rowid").withColumn("seq", F.lit(0).cast("long")), documents=docs, seq=0)
+        return self.index()
+
+    def _reindex(self, new: DataFrame | None, replaced: DataFrame) -> None:
+        """Bring the index, if it was current, up to a change: new documents (full rows) and rowids that went."""
+        if not self._current:
+            return
+        docs, m = self._manifest("documents")["number"], self._manifest("fts_lengths")
+        seq = m["seq"] + 1
+        if not replaced.isEmpty():
+            dead = self.index().postings.join(F.broadcast(replaced) if replaced.count() <= search.MAX_BROADCAST_ROWS else replaced, "rowid", "left_semi")
+            self.append("fts_terms", text_index.layout(text_index.frequencies(dead).withColumn("df", -F.col("df")), self.buckets, False))
+            self.append("fts_dead", replaced.select("rowid", F.lit(seq - 1).cast("long").alias("seq")))
+        if new is not None:
+            ix = text_index.build(new, FIELDS)
+            self.append("fts_postings", text_index.layout(ix.postings.withColumn("seq", F.lit(seq).cast("long")), self.buckets))
+            self.append("fts_terms", text_index.layout(text_index.frequencies(ix.postings), self.buckets, False))
+            lengths = ix.lengths.join(new.select("rowid", "collection"), "rowid").withColumn("seq", F.lit(seq).cast("long"))
+        else:
+            lengths = self.spark.createDataFrame([], "rowid long, dl long, collection string, seq long")
+        self.append("fts_lengths", lengths, documents=docs, seq=seq)
+
+    def index(self) -> text_index.TextIndex:
+        """The maintained index, built if it is missing or belongs to other documents."""
+        if not self._index_is_current():
+            return self.build_index()
+        number = self._manifest("fts_lengths")["number"]
+        if self._opened is not None and self._opened[0] == number:
+            return self._opened[1]
+        postings, lengths, dead = self.table("fts_postings"), self.table("fts_lengths"), self.table("fts_dead")
+        if not dead.isEmpty():
+            last = dead.groupBy("rowid").agg(F.max("seq").alias("__dead"))
+            alive = lambda df: df.join(last, "rowid", "left").where(F.col("__dead").isNull() | (F.col("seq") > F.col("__dead"))).drop("__dead")
+            postings, lengths = alive(postings), alive(lengths)
+        df = self.table("fts_terms").groupBy("term", "bucket").agg(F.sum("df").alias("df")).where("df > 0")
+        ix = text_index.TextIndex(postings, lengths, FIELDS, df, self.buckets)
+        self._opened = (number, ix)
+        return ix
+
+    # search
+
+    def search(self, queries: str | DataFrame, collection: str | None = None, vector: list[float] | None = None, limit: int = 10, method: str = "rrf", with_documents: bool = True, **options: Any) -> search.SearchResult:
+        """Search by text, vector or both (a DataFrame of query_id, text, vector asks many at once), in a collection
+        or all. options are those of operators.search.search: weights, enable_like, operator, metric, prefilter, rrf_k,
+        custom, field_weights, threshold. The debug part has the time to plan, the channels and what they used."""
+        start = time.perf_counter()
+        check_limit(limit)
+        single = not isinstance(queries, DataFrame)
+        if single:
+            row, kind = ([0, queries, vector], "query_id long, text string, vector array<double>") if vector is not None else ([0, queries], "query_id long, text string")
+            queries = self.spark.createDataFrame([row], kind)
+        ix = self.index() if "text" in queries.columns else None
+        restrict = None if collection is None else self.index().lengths.where(F.col("collection") == check_name(collection)).select("rowid")
+        docs = self.table("documents")
+        docs = docs if collection is None else docs.where(F.col("collection") == collection)
+        items = self.table("vectors") if "vector" in queries.columns else None
+        found = search.search(docs, ix, items, queries, limit, method, restrict=restrict, **options)
+        hits = search.attach(found.hits, docs, limit if single else None) if with_documents else found.hits
+        return search.SearchResult(hits, found.debug | {"collection": collection, "planning_ms": round(1000 * (time.perf_counter() - start), 1)})
+
+    def search_text(self, text: str, collection: str | None = None, limit: int = 10, syntax: bool = False, **options: Any) -> search.SearchResult:
+        """Text search with substring fusion; with syntax, the full query syntax. A text of no words falls back to
+        substring search alone."""
+        if syntax:
+            hits = search.top(search.fts(self.index(), text, **options), limit, F.col("fts_score"), F.col("rowid"))
+            return search.SearchResult(search.attach(hits, self.table("documents"), limit), {"channels": ["fts"], "syntax": True})
+        if text_words(text):
+            return self.search(text, collection, limit=limit, enable_like=search.like_skip_reason(text) is None, **options)
+        asked = self.spark.createDataFrame([(0, text)], "query_id long, text string")
+        docs = self.table("documents") if collection is None else self.table("documents").where(F.col("collection") == check_name(collection))
+        hits = search.like(docs, asked, limit).where(F.col("like_rank") < limit).withColumn("score", 1.0 / (1 + F.col("like_rank")))
+        return search.SearchResult(search.attach(hits, docs, 2 * limit), {"channels": ["like"], "fallback": True, "skipped": search.like_skip_reason(text)})
+
+    def search_semantic(self, text: str | list[str], provider: vectors.EmbeddingProvider, limit: int = 10, threshold: float = 0.1, metric: str = "cosine") -> DataFrame:
+        """The nearest documents of the texts' embeddings within threshold: query_id, distance, score and the documents."""
+        texts = [text] if isinstance(text, str) else text
+        provider.initialize()
+        asked = self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(provider.embed(texts))], "query_id long, vector array<double>")
+        near = search.knn(self.table("vectors"), asked, check_limit(limit), metric, threshold).withColumn("score", 1 - F.col("distance"))
+        return search.attach(near, self.table("documents"), limit * len(texts))
+
+    def search_global(self, text: str, how: str = "unified_ranking", limit: int = 10, **options: Any) -> DataFrame:
+        """One ranking over all collections; options are those of merge_collections."""
+        asked = self.spark.createDataFrame([(0, text)], "query_id long, text string")
+        hits = search.bm25(self.index(), asked)
+        hits = hits.join(self.index().lengths.select("rowid", "collection"), "rowid").select("query_id", "collection", "rowid", (-F.col("fts_score")).alias("score"))
+        return search.merge_collections(hits, how, check_limit(limit), **options)
+
+    def search_advanced(self, text: str, filters_: dict | None = None, aggregations: dict | None = None, facets: dict | None = None, limit: int = 20, offset: int = 0) -> dict[str, DataFrame]:
+        """Hits (a page), aggregations and facets of a text search under filters."""
+        asked = self.spark.createDataFrame([(0, text)], "query_id long, text string")
+        hits = search.bm25(self.index(), asked).select("rowid", (-F.col("fts_score")).alias("score"))
+        return filters.advanced(self.table("documents"), hits, filters_, aggregations, facets, check_limit(limit), offset)
 
     def put_vectors(self, rows: DataFrame, dimensions: int | None = None) -> int:
         """Insert or replace vectors; a wrong dimension is refused."""
         if dimensions is not None and not rows.where(~vectors.has_dimension(F.col("embedding"), dimensions)).isEmpty():
             raise ValueError(f"vectors need {dimensions} dimensions")
-        old = self.table("vectors").join(rows.select("rowid"), "rowid", "left_anti")
-        n = rows.count()
-        self.write("vectors", old.unionByName(rows.select("rowid", F.col("embedding").cast("array<float>").alias("embedding"))))
+        new = self._settled(rows.select("rowid", F.col("embedding").cast("array<float>").alias("embedding")))
+        n, old = new.count(), self.table("vectors")
+        if old.join(new.select("rowid"), "rowid", "left_semi").isEmpty():
+            self.append("vectors", new)
+        else:
+            self.write("vectors", old.join(new.select("rowid"), "rowid", "left_anti").unionByName(new))
         return n
 
     def embedding_status(self) -> DataFrame:
@@ -302,6 +628,8 @@ class Engine:
             raise ValueError(f"unknown format {kind!r}")
         manifest = {"format": kind, "schema_version": SCHEMA_VERSION, "tables": {}}
         for name in self.tables():
+            if name.startswith("fts_"):
+                continue  # the index is rebuilt from the documents
             df = self.table(name)
             df.write.mode("overwrite").format(kind).save(f"{path}/{name}")
             manifest["tables"][name] = {"schema": df.schema.json(), "rows": df.count()}
@@ -310,8 +638,6 @@ class Engine:
 
     def restore(self, path: str, overwrite: bool = False) -> dict:
         """Tables of a snapshot, after its manifest, version and row counts are checked."""
-        from pyspark.sql.types import StructType
-
         manifest = json.loads(self.spark.read.text(f"{path}/MANIFEST").first()[0])
         if manifest.get("schema_version") != SCHEMA_VERSION:
             raise ValueError(f"snapshot of version {manifest.get('schema_version')}; this is {SCHEMA_VERSION}")
@@ -328,7 +654,8 @@ class Engine:
         return manifest
 
     def stats(self) -> dict:
-        return {"version": SCHEMA_VERSION, "tables": {n: self.table(n).count() for n in self.tables()}}
+        return {"version": SCHEMA_VERSION, "tables": {n: self.table(n).count() for n in self.tables() if not n.startswith("fts_")}}
 
     def close(self) -> None:
-        """Nothing is held open; tables are already written."""
+        """Tables are already written; what statements left behind goes."""
+        self.fs.delete(self.fs_path(f"{self.path}/_work"), True)

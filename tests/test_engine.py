@@ -37,6 +37,88 @@ def test_documents(engine, spark):
         engine.create_collection("other")
 
 
+def test_a_crash_between_writing_and_publishing_loses_nothing(engine, spark, monkeypatch):
+    """The table stays as it was, whatever the writer was stopped at, and a new engine finds it."""
+    docs = spark.createDataFrame([("1", "T", "one")], "id string, title string, content string")
+    engine.upsert_documents(docs)
+
+    def stop(self, old, new):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(Engine, "_rename", stop)
+    for change in (lambda: engine.upsert_documents(docs.withColumn("id", F.lit("2"))), lambda: engine.write("documents", engine.table("documents").limit(0))):
+        with pytest.raises(KeyboardInterrupt):
+            change()
+        assert Engine(spark, engine.path).table("documents").count() == 1
+    monkeypatch.undo()
+    # two writers: the slower one fails, and its rows are not half there
+    m = engine._manifest("documents")
+    engine.upsert_documents(docs.withColumn("id", F.lit("3")))
+    with pytest.raises(RuntimeError, match="another writer"):
+        engine._publish("documents", m, m)
+    assert Engine(spark, engine.path).table("documents").count() == 2
+
+
+def test_the_index_follows_the_documents(engine, spark):
+    from quarry.operators import index
+
+    kind = "id string, title string, content string, collection string"
+    first = [("1", "red apples", "sweet red fruit", "default"), ("2", "green pears", "sweet", "default"), ("1", "red cars", "fast", "other")]
+    engine.create_collection("other")
+    found = lambda q, **o: sorted((r.collection, r.id) for r in engine.search(q, **o).hits.collect())
+    engine.upsert_documents(spark.createDataFrame(first, kind))
+    assert found("red") == [("default", "1"), ("other", "1")] and found("red", collection="other") == [("other", "1")]
+    engine.upsert_documents(spark.createDataFrame([("1", "blue plums", "sour", "default"), ("3", "red wine", "sour red", "default")], kind))
+    assert engine._index_is_current() and found("red") == [("default", "3"), ("other", "1")] and found("plums") == [("default", "1")]
+    engine.delete_documents(spark.createDataFrame([("other", "1")], "collection string, id string"))
+    assert engine._index_is_current() and found("cars") == [] and engine.table("documents").count() == 3
+    # the same as an index made anew
+    ix, new = engine.index(), index.build(engine.table("documents"), ("title", "content", "metadata"))
+    key = ["rowid", "term", "tf", "dl"]
+    assert sorted(map(str, ix.postings.select(key).collect())) == sorted(map(str, new.postings.select(key).collect()))
+    assert sorted(map(str, ix.frequencies.select("term", "df").collect())) == sorted(map(str, index.frequencies(new.postings).collect()))
+    assert engine.verify_documents(spark.createDataFrame([("1",), ("9",)], "id string")).orderBy("id").collect() == [("default", "1", True, True), ("default", "9", False, False)]
+    # an index that missed a change is built again
+    engine.append("documents", engine.table("documents").where("id = '3'").withColumns({"id": F.lit("4"), "rowid": F.lit(4).cast("long"), "content": F.lit("late zebra")}))
+    assert found("zebra") == [("default", "4")]
+
+
+def test_engine_search(engine, spark):
+    rows = [(str(i), f"title {i}", f"common word{i % 3} text {'needle' if i == 5 else ''} 100%") for i in range(12)]
+    engine.upsert_documents(spark.createDataFrame(rows, "id string, title string, content string"))
+    engine.put_vectors(engine.table("documents").select("rowid", F.array(F.col("id").cast("float"), F.lit(1.0)).alias("embedding")))
+    r = engine.search("needle", vector=[5.0, 1.0], limit=3, enable_like=True, rrf_k=10)
+    hits = r.hits.orderBy(F.desc("score")).collect()
+    assert hits[0].id == "5" and hits[0].score == pytest.approx(1 / 11 + 1 / 11 + 1 / 10) and r.debug["channels"] == ["fts", "vec", "like"] and r.debug["planning_ms"] > 0
+    own = engine.search("needle", vector=[5.0, 1.0], limit=3, method="custom", custom=lambda fs, fr, d, vr, lr: F.coalesce(-d, F.lit(-99.0))).hits.orderBy(F.desc("score")).collect()
+    assert [x.id for x in own][0] == "5"
+    assert {x.id for x in engine.search_text("title:5", syntax=True).hits.collect()} == {"5"}
+    assert engine.search_text("%").debug["skipped"] == "too_short" and engine.search_text("needle").hits.first().id == "5"
+    assert {x.collection for x in engine.search_global("common").collect()} == {"default"}
+    out = engine.search_advanced("common", {"text": [{"field": "content", "op": "contains", "value": "word1"}]}, facets={"c": {"kind": "terms", "field": "collection"}})
+    assert out["hits"].count() == 4 and out["c"].first().doc_count == 4
+    near = engine.search_semantic("x", vectors.HashProvider(2), 2, threshold=2.0)
+    assert near.count() == 2
+    for bad in (0, 10_001):
+        with pytest.raises(ValueError):
+            engine.search("x", limit=bad)
+
+
+def test_changes_by_sql(engine, spark):
+    engine.write("users", spark.createDataFrame([(1, "a", 30), (2, "b'c", 40)], "id long, name string, age int"))
+    got = engine.execute("INSERT INTO users (id, name) VALUES (?, ?), (4, 'x, y') RETURNING id, upper(name) AS n", [3, "c"])
+    assert got.rows_modified == 2 and sorted(tuple(r) for r in got.returned.collect()) == [(3, "C"), (4, "X, Y")]
+    assert engine.execute("INSERT INTO users SELECT id + 10, name, age FROM users WHERE age IS NOT NULL").rows_modified == 2
+    up = engine.execute("UPDATE users SET age = coalesce(age, 0) + ?, name = concat(name, ',(') WHERE id >= ? RETURNING *", [5, 4])
+    assert up.rows_modified == 3 and {r.age for r in up.returned.collect()} == {5, 35, 45} and {r.name[-2:] for r in up.returned.collect()} == {",("}
+    assert engine.execute("delete from users where age > :a", {"a": 40}).rows_modified == 1
+    assert engine.sql("select count(*) n, sum(age) s from users").first() == (5, 30 + 40 + 5 + 35)
+    assert engine.execute("DELETE FROM users").rows_modified == 5 and engine.table("users").count() == 0
+    for bad in ("DROP TABLE users", "UPDATE documents SET title = 'x'", "UPDATE users SET nope = 1"):
+        with pytest.raises(ValueError):
+            engine.execute(bad)
+
+
 def test_sql_and_statements(engine, spark):
     engine.bulk_insert("users", [{"id": 1, "age": 30}, {"id": 2, "age": 40}])
     engine.add_column("users", "mail", "string")
@@ -146,7 +228,11 @@ def test_entities_and_expansion(spark):
     q = "find John Smith at NASA on 2024-01-05"
     assert {(e.type, e.text) for e in found.e} >= {("PERSON", "John Smith"), ("ORGANIZATION", "NASA"), ("DATE", "2024-01-05")}
     assert all(q[e.start : e.end] == e.text for e in found.e)
-    assert found.x.expanded[-2:] == ["search", "locate"]
+    assert (found.x.expanded[-1], found.x.confidence) == ("search", 0.6)
+    one = lambda q, c=None: spark.range(1).select(queryplan.expansion(F.lit(q), c).alias("x"), queryplan.linguistics(F.lit(q)).alias("l")).first()
+    r = one("find good", F.array(F.lit("find fine restaurants nearby today"))).x
+    assert (r.expanded, r.confidence, r.concepts) == (["find", "good", "search", "excellent", "fine"], 0.85, ["fine", "restaurants", "nearby"])
+    assert [(x.language, x.language_confidence) for x in (one("Find it, now!").l, one("naïve find").l, one("find кот").l)] == [("en", 0.8), ("unknown", 0.5), ("ru", 0.8)]
 
 
 def test_stream_equals_batch(spark, sf_dir):
