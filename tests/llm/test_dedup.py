@@ -123,13 +123,44 @@ def test_repeats(spark, docs, rows, no_docs):
     assert first[None].n_removed == 0 and first[0].n_removed == first[0].n_bytes and first[0].kept == b""
 
 
-def test_repeats_within_a_text_and_in_long_stretches(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "PIECE", 700)
-    monkeypatch.setattr(repeats, "CHUNK", 900)
-    monkeypatch.setattr(repeats, "BATCH", 40)
+def check_repeats(df, rows, **limits):
+    want = brute_repeats(rows)
+    got = repeats.remove_repeats(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert want[r.doc_id] == (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+
+
+@pytest.mark.parametrize("hot", [1024, 1])
+def test_repeats_within_a_text_and_in_long_stretches(spark, monkeypatch, hot):
+    """Also with every shared trigger taken for a hot one, and with small batches and suffix arrays."""
+    for name, x in (("PIECE", 700), ("CHUNK", 900), ("BATCH", 40), ("ARRAY", 500), ("HOT", hot)):
+        monkeypatch.setattr(repeats, name, x)
     a = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(900))
     rows = [(1, a + a[50:400] + "zz"), (2, "x" * 350), (3, a[300:420] + "q" + a[:99]), (4, "ab" * 200)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(10 + i, f"{i * 7919 % 1000:03d}" * (i % 9) + a[100 + i : 260 + 2 * i] + f"{i}" * 60) for i in range(60)]
+    check_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows)
+
+
+def test_repeats_of_a_whole_table(spark, sf_dir):
+    """The registered query against brute force."""
+    from quarry.llm import queries as Q
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want = brute_repeats(rows)
-    for r in repeats.remove_repeats(df).collect():
+    got = Q.op6_suffix_dedup(spark, sf_dir).collect()
+    assert len(got) == len(rows) and sum(r.n_removed > 0 for r in got) > 10
+    for r in got:
         assert want[r.doc_id] == (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+
+
+def test_suffix_classes_are_those_of_sorted_suffixes():
+    r = np.random.Generator(np.random.PCG64(3))
+    for size in (0, 5, 700):
+        x = r.integers(0, 2, size, np.uint8)
+        x[size // 2 :] = x[: size - size // 2]
+        b = x.tobytes() + bytes(40)
+        cut = [b[i : i + 37] for i in range(size)]
+        order = {c: i for i, c in enumerate(sorted(set(cut) | {bytes(37)}))}
+        rank = repeats.suffix_classes(x, 37)
+        assert len(rank) == size and all((rank[i] < rank[j]) == (order[cut[i]] < order[cut[j]]) and (rank[i] == rank[j]) == (cut[i] == cut[j]) for i in range(0, size, 7) for j in range(0, size, 5))
