@@ -6,7 +6,10 @@ set of total weight W sees the darts below each element's weight and below rank
 t darts in all, however many elements it has. Each dart hashes to one of k coordinates, and
 the lowest rank of a coordinate is its value. t = k ln k + 2k fills all coordinates for most
 sets; for the others t doubles until it does. Equal values of a coordinate have the
-probability of the weighted Jaccard similarity.
+probability of the weighted Jaccard similarity. A shingle's weight is how often the text has it.
+What is confirmed in the end is the similarity of the sets of shingles, and copies that differ in how
+often they repeat a passage can be far apart by weights: a text that repeats a shingle also gets the
+signature of its set (all weights 1, which is the weighted signature of any text without repeats).
 
 Joining. Documents with equal words collapse first, by hash, so groups of copies of any size
 count once. k coordinates make ``bands`` keys of ``rows`` coordinates. Of the documents that
@@ -21,13 +24,14 @@ checked against all members of other classes, then leaves the bucket, so nothing
 a bucket is done when what remains is of one class: near copies need a hub or two however
 many they are.
 
-Pairs are confirmed by the exact similarity of their sets of five-word shingles, and classes
-are the connected components. Nothing is capped. All tables between rounds are written to
-the shared folder.
+Pairs are confirmed by the similarity of their sets of five-word shingles (64-bit hashes of their
+words), and classes are the connected components. Nothing is capped. Members are dealt to tasks by
+document, not by key, and meet hubs by broadcast, so a key of very many documents is no task's
+alone. All tables between rounds are written to the shared folder.
 
 Defined cases: words are runs of anything but ASCII white space, A-Z lowered; a text of fewer
-than five words is one shingle; texts without words (also null) are one class; doc_id is
-taken as unique, and rows of equal doc_id as one document with all its texts; a document
+than five words is one shingle; texts without words (also null) are one class; doc_id is a whole
+number and taken as unique, and rows of equal doc_id as one document with all its texts; a document
 without doc_id gets the class of its copies, or null; a class's id is its smallest doc_id;
 an empty table gives an empty result; other columns are ignored.
 """
@@ -44,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKEN, ascii_lower, settle, text_or_empty
+from .common import TOKEN, ascii_lower, settle, text_or_empty, unused
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
@@ -132,27 +136,36 @@ def word_hashes(text: Column) -> Column:
 def _bands(bands: int, rows: int, weighting: str):
     k = bands * rows
 
+    def keys_of(e: np.ndarray, w: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
+        sig = dart_minhash(e, w, s, n, k).reshape(n, bands, rows)
+        h = np.zeros((n, bands), np.uint64)
+        for j in range(rows):
+            h = _mix(h * _U(3) + sig[:, :, j])
+        return h
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(3)
             ends = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
             words = lists.flatten().to_numpy().view(np.uint64)
-            keys = np.zeros((len(lists), bands), np.uint64)
+            parts, owners = [np.zeros((0, bands), np.uint64)], [np.zeros(0, np.int64)]
             a = 0
             while a < len(lists):  # some hundred thousand darts at a time
                 base = ends[a - 1] if a else 0
                 z = max(a + 1, min(a + max(1, 100_000 // k), int(np.searchsorted(ends, base + 300_000, side="right"))))
-                e, s = shingles(words[base : ends[z - 1]], ends[a:z] - base)
-                w = np.ones(len(e))
-                if weighting == "count":
-                    e, w, s = _multiplicity(e, s)
-                sig = dart_minhash(e, w, s, z - a, k).reshape(z - a, bands, rows)
-                h = np.zeros((z - a, bands), np.uint64)
-                for j in range(rows):
-                    h = _mix(h * _U(3) + sig[:, :, j])
-                keys[a:z] = h
+                e, w, s = _multiplicity(*shingles(words[base : ends[z - 1]], ends[a:z] - base))
+                parts.append(keys_of(e, w if weighting != "set" else np.ones(len(e)), s, z - a))
+                owners.append(np.arange(a, z))
+                if weighting == "both" and len(again := np.unique(s[w > 1])):
+                    use = np.isin(s, again)
+                    parts.append(keys_of(e[use], np.ones(int(use.sum())), np.searchsorted(again, s[use]), len(again)))
+                    owners.append(a + again)
                 a = z
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.view(np.int64).ravel()))
+            owner = np.concatenate(owners)
+            order = np.argsort(owner, kind="stable")
+            keys = np.concatenate(parts)[order].view(np.int64)
+            n = np.bincount(owner, minlength=len(lists)) * bands
+            flat = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.diff(np.append(0, ends))), flat], ["doc_id", "h1", "h2", "n", "bands"])
 
     return run
@@ -189,28 +202,28 @@ def components(edges: DataFrame, name: str = "components", max_broadcast: int =
     return labels
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, weighting: str = "set", hubs: int = 16, max_broadcast: int = 100_000) -> DataFrame:
-    """doc_id and class_id of every document. weighting: "set" compares sets of shingles; "count" weighs
-    each shingle by its number of occurrences (weighted Jaccard)."""
-    if weighting not in ("set", "count"):
+def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, weighting: str = "both", hubs: int = 16, max_broadcast: int = 100_000) -> DataFrame:
+    """doc_id and class_id of every document. weighting: "both" and "set" compare sets of shingles, by signatures of
+    counted shingles and of sets or of sets alone; "count" compares counted shingles (weighted Jaccard)."""
+    if weighting not in ("both", "set", "count"):
         raise ValueError(f"unknown weighting {weighting!r}")
     wh = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(text_or_empty()).alias("w"))
     wh = wh.select("doc_id", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "w").alias("h2"), "w")
     signed = settle(wh.mapInArrow(_bands(bands, rows, weighting), "doc_id long, h1 long, h2 long, n long, bands array<long>"), "minhash-signed")
     reps = settle(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("v"), F.min("n").alias("n"), F.min_by("bands", "doc_id").alias("bands")), "minhash-texts")
     known = reps.where(F.col("v").isNotNull() & (F.col("n") > 0))
-    each = known.select("v", F.posexplode("bands").alias("band", "value")).select("v", F.xxhash64("band", "value").alias("key"))
+    each = known.select("v", F.posexplode("bands").alias("band", "value")).select("v", F.xxhash64(F.col("band") % bands, "value").alias("key")).distinct()
     several = each.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    members = settle(each.join(several, "key"), "minhash-members")
+    members = settle(each.join(several, "key").repartition("v"), "minhash-members")  # not by key: a hot one would be one task's
 
     # the exact sets of those who share a bucket, and of how many shingles no other of them has
-    ids = _small(settle(members.select("v").distinct(), "minhash-candidates"), 20 * max_broadcast)  # a number each
+    ids = _small(settle(members.select("v").distinct(), "minhash-candidates"), 10 * max_broadcast)  # a number each
     size = F.size("w")
     text = docs.select(F.col("doc_id").cast("long").alias("v"), text_or_empty().alias("text")).join(ids, "v").select("v", word_hashes(F.col("text")).alias("w"))
-    sets = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - F.lit(SHINGLE - 1))), lambda i: F.hash(F.slice("w", i, SHINGLE)))
+    sets = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - F.lit(SHINGLE - 1))), lambda i: F.xxhash64(F.slice("w", i, SHINGLE)))
     if weighting == "count":  # an occurrence is an element: the sets' similarity is then the weighted one
         sets = F.sort_array(sets)
-        sets = F.transform(sets, lambda h, i: F.hash(h, i - F.array_position(sets, h).cast("int")))
+        sets = F.transform(sets, lambda h, i: F.xxhash64(h, i - F.array_position(sets, h).cast("int")))
     sets = settle(text.select("v", F.array_distinct(sets).alias("s")), "minhash-sets")
     own = sets.select("v", F.explode("s").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("v")).where("m = 1")
     own = own.groupBy("v").agg(F.count(F.lit(1)).alias("own"))
@@ -226,7 +239,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: i
     while True:
         here = left.join(_small(labels, max_broadcast), "v")
         per = here.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("c", "m").alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "top")
-        here = settle(here.join(per, "key"), "minhash-open")
+        here = settle(here.join(_small(settle(per, "minhash-keys"), 5 * max_broadcast), "key"), "minhash-open")
         if here.isEmpty():
             break
         outside = here.where("c != top") if slots > 1 else here
@@ -235,7 +248,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: i
         possible = F.least("common", "hcommon") * (1 + threshold) >= threshold * (F.col("n") + F.col("hn")) - 1e-9
         differ = reduce(add, (F.bit_count(F.col(p).bitwiseXOR(F.col(f"h{p}"))) for p in MAPS))
         possible &= F.coalesce(differ * (1 + threshold) <= (1 - threshold) * (F.col("n") + F.col("hn")) + 1e-9, F.lit(True))
-        met = here.join(chosen, "key").where((F.col("c") != F.col("hc")) & possible)
+        met = here.join(_small(chosen, max_broadcast), "key").where((F.col("c") != F.col("hc")) & possible)
         pairs = settle(met.select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct(), "minhash-pairs")
         new = _confirm(pairs, sets, threshold)
         to, there = labels.select(F.col("v").alias("a"), F.col("c").alias("ca")), labels.select(F.col("v").alias("b"), F.col("c").alias("cb"))
@@ -268,14 +281,18 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return got.where(F.col("i") >= threshold * (F.col("n") - F.col("i")) - 1e-9).select("a", "b")
 
 
-def deduplicate(docs: DataFrame, max_broadcast: int = 2_000_000, **options) -> DataFrame:
+def deduplicate(docs: DataFrame, max_broadcast: int = 500_000, **options) -> DataFrame:
     """One document of each class: that with the smallest doc_id (one row of it). Rows without doc_id
-    stay; columns stay as they are."""
-    found = classes(docs.select("doc_id", "text"), **options)
-    ids = settle(found.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").count(), "minhash-kept")
-    total, again = ids.agg(F.count(F.lit(1)), F.max("count")).first()
-    ids = ids.select(F.col("doc_id").alias("__kept"))
-    kept = docs.join(F.broadcast(ids) if total <= max_broadcast else ids, F.col("doc_id") == F.col("__kept"), "left_semi")
-    if (again or 0) > 1:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    stay; columns stay as they are. The ids that go, or those that stay if they are fewer, are broadcast
+    if they are counted to be at most max_broadcast."""
+    found = settle(classes(docs.select("doc_id", "text"), **options).where(F.col("doc_id").isNotNull()), "minhash-classes")
+    stays = F.col("doc_id") == F.col("class_id")
+    kept, gone, again = found.agg(F.count_if(stays), F.count_if(~stays), F.count(F.lit(1)) - F.count_distinct("doc_id")).first()
+    (name,) = unused(docs, "__id")
+    which, how = (~stays, "left_anti") if gone <= kept else (stays, "left_semi")
+    ids = found.where(which).select(F.col("doc_id").alias(name)).distinct()
+    known = docs.where(F.col("doc_id").isNotNull())
+    out = known.join(F.broadcast(ids) if min(kept, gone) <= max_broadcast else ids, F.col("doc_id").cast("long") == F.col(name), how)
+    if again:
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)

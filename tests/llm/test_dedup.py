@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import minhash, repeats
 
@@ -40,7 +41,26 @@ def brute(rows, count=False):
     return {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize("weighting", ["set", "count"])
+def test_classes_of_a_whole_table(spark, sf_dir):
+    """The registered query against all pairs: every pair of similarity 0.8 or more is linked, and no other."""
+    from quarry.llm import queries as Q
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    want = brute(rows)
+    assert len(set(want.values())) < len(rows)
+    assert {r.doc_id: r.class_id for r in Q.op1_dart_minhash(spark, sf_dir).collect()} == want
+
+
+def test_copies_that_repeat_a_passage(spark):
+    """Far apart by counted shingles, equal as sets: the set's signature links them."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join(base * 40)), (3, " ".join(base * 40 + ["end"])), (4, " ".join(f"v{i}" for i in range(60)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.classes(df).collect()} == brute(rows) == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert {r.doc_id: r.class_id for r in minhash.classes(df, weighting="count").collect()} == brute(rows, True) == {1: 1, 2: 2, 3: 2, 4: 4}
+
+
+@pytest.mark.parametrize("weighting", ["both", "set", "count"])
 def test_classes(docs, rows, weighting):
     got = minhash.classes(docs, weighting=weighting)
     assert got.count() == len(rows)
@@ -50,7 +70,7 @@ def test_classes(docs, rows, weighting):
 
 
 def test_deduplicate(docs, rows, no_docs):
-    kept = minhash.deduplicate(docs)
+    kept = minhash.deduplicate(docs.withColumns({"__id": F.lit(7), "__ID_": F.lit("x"), "class_id": F.lit(1)})).drop("__id", "__ID_", "class_id")
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(x for x in ids if x is not None) == sorted(set(brute(rows).values())) and ids.count(None) == 1
