@@ -1,9 +1,15 @@
 """Language identification of mixed-language text.
 
 A word's script (by Unicode range) narrows its candidate languages to those that used the
-script in training; character trigrams within the word give each candidate a log
-probability; a Viterbi pass over the words, with a fixed penalty for each switch, labels
-spans. A text's language is that of most of its letters.
+script in training; only they are scored: character trigrams within the word give each
+candidate a log probability, and the others rank ``FAR`` below the worst candidate. A Viterbi pass
+over the words, with a fixed penalty for each switch, labels spans. A text's language is that of
+most of its letters, its share theirs of all letters. The score is the share times the certainty that
+it is this language rather than the next best, 1 - exp(-margin of their log probabilities).
+
+``fit`` tells how a text resembles its language: how far its mean log probability a letter is from
+that of the training texts, in standard deviations of a letter's; times n / (n + 200) for n letters,
+so that short texts, which may be all names or numbers, are near 0.
 
 Trigram counts are gathered in Spark from a bounded, hash-chosen sample of the labelled rows
 (``max_docs`` for each language), hashed into a fixed number of buckets, so the model's size
@@ -28,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 BUCKETS = 1 << 16
 #: Unicode ranges of scripts (fixed values): first and last code point, script.
 SCRIPTS = [
@@ -39,7 +47,8 @@ SCRIPTS = [
     (0x3040, 0x30FF, 14), (0x3400, 0x4DBF, 15), (0x4E00, 0x9FFF, 15), (0x20000, 0x3FFFF, 15),
 ]
 N_SCRIPTS = 16
-RESULT = "struct<lang_pred:string,score:double,spans:array<struct<lang:string,first_word:int,n_words:int>>>"
+FAR = 50.0
+RESULT = "struct<lang_pred:string,score:double,share:double,fit:double,spans:array<struct<lang:string,first_word:int,n_words:int>>>"
 
 
 @lru_cache(1)
@@ -116,26 +125,45 @@ class Model:
 
     def __init__(self, langs: list[str], counts: np.ndarray, penalty: float = 12.0, alpha: float = 0.2):
         self.langs, self.penalty = langs, penalty
+        self.mean, self.spread = np.zeros(len(langs)), np.ones(len(langs))
         grams = counts[:, :BUCKETS].astype(np.float64) + alpha
         self.logp = np.log(grams / grams.sum(1, keepdims=True)).astype(np.float32).T.copy() if langs else np.zeros((BUCKETS, 0), np.float32)
         scripts = counts[:, BUCKETS:].astype(np.float64).T
         share = scripts / np.maximum(scripts.sum(0, keepdims=True), 1)
         self.allowed = share >= 0.005
         self.allowed[~self.allowed.any(1)] = True
-
-    def label(self, texts: list[str]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
-        """(language, score, spans) of each text."""
+        if langs:  # of a letter's log probability under its own language
+            p = grams / grams.sum(1, keepdims=True)
+            own = np.log(p)
+            self.mean = (p * own).sum(1)
+            self.spread = np.sqrt(np.maximum((p * own**2).sum(1) - self.mean**2, 1e-9))
+
+    def word_scores(self, bucket: np.ndarray, starts: np.ndarray, scripts: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """[words, languages]: log probabilities of the candidates that each word's script leaves."""
+        score = np.full((len(starts), len(self.langs)), np.nan)
+        for k in range(len(self.langs)):
+            mine = self.allowed[scripts, k]
+            if mine.all():
+                score[:, k] = np.add.reduceat(self.logp[bucket, k], starts, dtype=np.float64)
+            elif mine.any():
+                part, sizes = bucket[np.repeat(mine, letters)], letters[mine]
+                score[mine, k] = np.add.reduceat(self.logp[part, k], np.cumsum(sizes) - sizes, dtype=np.float64)
+        narrowed = np.isnan(score)
+        if narrowed.any():
+            score = np.where(narrowed, np.nanmin(score, axis=1, keepdims=True) - FAR, score)
+        return score
+
+    def label(self, texts: list[str]) -> list[tuple[str, float, float, float, list[tuple[str, int, int]]]]:
+        """(language, score, share, fit, spans) of each text."""
         n_langs = len(self.langs)
-        none = ("und", 0.0, [])
+        none = ("und", 0.0, 0.0, 0.0, [])
         bucket, starts, scripts, letters, text, first = _words(texts)
         if not n_langs or not len(starts):
             return [none] * len(texts)
-        score = np.empty((len(starts), n_langs), np.float64)
-        for k in range(n_langs):
-            score[:, k] = np.add.reduceat(self.logp[bucket, k], starts, dtype=np.float64)
-        score[~self.allowed[scripts]] -= 50.0
+        score = self.word_scores(bucket, starts, scripts, letters)
         has = np.flatnonzero(np.diff(first))
         total = np.add.reduceat(score, first[has], axis=0)
+        size = np.add.reduceat(letters, first[has]).astype(np.float64)
         best = total.argmax(1)
         rest = total.copy()
         rest[np.arange(len(has)), best] = -np.inf
@@ -146,9 +174,13 @@ class Model:
             a, b = int(first[i]), int(first[i + 1])
             sure = 1.0 - float(np.exp(-min(50.0, margin[j])))
             if single[j]:
-                out[i] = (self.langs[best[j]], sure, [(self.langs[best[j]], 0, b - a)])
+                k = best[j]
+                out[i] = (self.langs[k], sure, 1.0, self._fit(total[j, k], size[j], k), [(self.langs[k], 0, b - a)])
             else:
-                out[i] = self._spans(score[a:b], letters[a:b])
+                k, share, inside, spans = self._spans(score[a:b], letters[a:b])
+                own = score[a:b][inside].sum(0)
+                margin_ = float(own[k] - np.delete(own, k).max()) if n_langs > 1 else FAR
+                out[i] = (self.langs[k], share * (1.0 - float(np.exp(-max(0.0, min(FAR, margin_))))), share, self._fit(own[k], letters[a:b][inside].sum(), k), spans)
         return out
 
     def _one_language(self, score: np.ndarray, first: np.ndarray, has: np.ndarray, best: np.ndarray) -> np.ndarray:
@@ -166,7 +198,11 @@ class Model:
         low = np.minimum.accumulate(ahead - drop, axis=0) + drop
         return (np.maximum.reduceat(run - low, starts, axis=0).max(1)) < self.penalty
 
-    def _spans(self, score: np.ndarray, letters: np.ndarray) -> tuple[str, float, list[tuple[str, int, int]]]:
+    def _fit(self, total: float, n: float, k: int) -> float:
+        return float((total / n - self.mean[k]) / self.spread[k] * n / (n + 200))
+
+    def _spans(self, score: np.ndarray, letters: np.ndarray) -> tuple[int, float, np.ndarray, list[tuple[str, int, int]]]:
+        """The leading language, its share of the letters, its words, and all spans."""
         pen, k = self.penalty, score.shape[1]
         value, back = score[0].tolist(), []
         for row in score[1:].tolist():
@@ -184,7 +220,7 @@ class Model:
         edges = np.flatnonzero(np.diff(path)) + 1
         begin, end = np.append(0, edges), np.append(edges, len(path))
         best = int(share.argmax())
-        return self.langs[best], float(share[best] / share.sum()), [(self.langs[path[a]], int(a), int(b - a)) for a, b in zip(begin, end)]
+        return best, float(share[best] / share.sum()), path == best, [(self.langs[path[a]], int(a), int(b - a)) for a, b in zip(begin, end)]
 
 
 def train(labelled: DataFrame, max_docs: int = 2000, max_langs: int = 256, seed: int = 5) -> Model:
@@ -219,16 +255,16 @@ def identify(text: Column, model: Model, spark) -> Column:
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             texts = texts.to_pylist()
-            out = [("und", 0.0, [])] * len(texts)
+            out = [("und", 0.0, 0.0, 0.0, [])] * len(texts)
             for which, run in _chunks(texts, 1 << 21):
                 for i, x in zip(which, shared.value.label(run)):
                     out[i] = x
-            n = np.cumsum([0, *(len(x[2]) for x in out)])
-            spans = [s for x in out for s in x[2]]
+            n = np.cumsum([0, *(len(x[4]) for x in out)])
+            spans = [s for x in out for s in x[4]]
             each = pa.StructArray.from_arrays([pa.array([s[0] for s in spans], pa.string()), pa.array([s[1] for s in spans], pa.int32()), pa.array([s[2] for s in spans], pa.int32())], ["lang", "first_word", "n_words"])
             yield pa.StructArray.from_arrays(
-                [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.ListArray.from_arrays(pa.array(n, pa.int32()), each)],
-                ["lang_pred", "score", "spans"],
+                [pa.array([x[0] for x in out], pa.string()), *(pa.array([x[i] for x in out], pa.float64()) for i in (1, 2, 3)), pa.ListArray.from_arrays(pa.array(n, pa.int32()), each)],
+                ["lang_pred", "score", "share", "fit", "spans"],
             )
 
     return udf(text.cast("string"))
@@ -239,13 +275,16 @@ def held_out() -> Column:
 
 
 def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, spans; learned from the documents that aren't held out."""
+    """doc_id, held_out, lang_pred, score, share, fit, spans; learned from the documents that aren't held out."""
     model = model or train(docs.where(~held_out() & F.col("doc_id").isNotNull()))
     return docs.select("doc_id", held_out().alias("held_out"), identify(F.col("text"), model, docs.sparkSession).alias("r")).select("doc_id", "held_out", "r.*")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.2, model: Model | None = None) -> DataFrame:
-    """docs without those whose language is und or whose leading language holds less than min_score."""
+def keep_identified(docs: DataFrame, min_share: float = 0.2, min_fit: float = -1.0, model: Model | None = None) -> DataFrame:
+    """docs without those whose language is und, whose leading language holds less than min_share of the letters, or
+    whose fit is less than min_fit: letters in no learned language's order."""
     model = model or train(docs.where(~held_out() & F.col("doc_id").isNotNull()))
-    r = docs.withColumn("__r", identify(F.col("text"), model, docs.sparkSession))
-    return r.where((F.col("__r.lang_pred") != "und") & (F.col("__r.score") >= min_score)).select(*docs.columns)
+    (name,) = unused(docs, "__r")
+    r = docs.withColumn(name, identify(F.col("text"), model, docs.sparkSession))
+    x = F.col(name)
+    return r.where((x["lang_pred"] != "und") & (x["share"] >= min_share) & (x["fit"] >= min_fit)).select(*docs.columns)

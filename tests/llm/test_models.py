@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,13 +53,41 @@ def test_spans_are_the_best_path(spark):
     train = [(" ".join(r.choice(vocab[x]) for _ in range(30)), x) for x in vocab for _ in range(5)]
     model = langid.train(spark.createDataFrame(train, "text string, lang string"))
     texts = ["the and thing " * 9 + "le que dans aux " * 9, "the le and que", "the and", "le " * 40, "The AND\nle"]
-    for t, (_, score, spans) in zip(texts, model.label(texts)):
+    for t, (_, score, share, _, spans) in zip(texts, model.label(texts)):
         bucket, starts, scripts, letters, *_ = langid._words([t])
         s = [[float(sum(model.logp[b, k] for b in part)) for k in range(3)] for part in (bucket[a:z] for a, z in zip(starts, [*starts[1:], len(bucket)]))]
         s = [[x - (0 if model.allowed[sc, k] else 50) for k, x in enumerate(row)] for row, sc in zip(s, scripts)]
         path = plain_viterbi(s, model.penalty)
-        assert [model.langs.index(x) for x, _, n in spans for _ in range(n)] == path and 0 <= score <= 1
-    assert [x for x, _, _ in model.label(texts)[0][2]] == ["aa", "bb"]
+        assert [model.langs.index(x) for x, _, n in spans for _ in range(n)] == path and 0 <= score <= share <= 1
+    assert [x for x, _, _ in model.label(texts)[0][4]] == ["aa", "bb"]
+
+
+def test_scripts_narrow_the_candidates():
+    """A language that doesn't use a word's script isn't scored, and never wins the word."""
+    counts = np.zeros((3, langid.BUCKETS + langid.N_SCRIPTS), np.int64)
+    for k, text in enumerate(["the and thing with other words", "le que dans aux autres mots", "это слово другие слова здесь"]):
+        bucket, _, scripts, letters, *_ = langid._words([text])
+        np.add.at(counts[k], bucket, 1)
+        np.add.at(counts[k], langid.BUCKETS + scripts.astype(int), letters)
+    model = langid.Model(["en", "fr", "ru"], counts)
+    text = "это the слова qqq"
+    bucket, starts, scripts, letters, *_ = langid._words([text])
+    got = model.word_scores(bucket, starts, scripts, letters)
+    own = [[float(sum(model.logp[b, k] for b in bucket[a:z])) for k in range(3)] for a, z in zip(starts, [*starts[1:], len(bucket)])]
+    for row, want, s in zip(got, own, scripts):
+        allowed = [k for k in range(3) if model.allowed[s, k]]
+        assert allowed in ([2], [0, 1])
+        assert all(row[k] == pytest.approx(want[k] if k in allowed else min(want[j] for j in allowed) - langid.FAR, rel=1e-5) for k in range(3))
+
+
+def test_only_texts_like_a_learned_language_are_kept(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    r = random.Random(1)
+    noise = [(10**6 + i, "".join(r.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(1500)), None, "s", 1) for i in range(5)]
+    both = docs.unionByName(spark.createDataFrame(noise, docs.schema))
+    kept = {x.doc_id for x in langid.keep_identified(both.withColumns({"__r": F.lit(1), "__R_": F.lit(2)})).collect()}
+    assert not any(x >= 10**6 for x in kept)
+    assert kept == {x.doc_id for x in docs.collect() if x.text and any(c.isalpha() for c in x.text)}
 
 
 class PlainModel:
