@@ -5,8 +5,9 @@ train its dictionary, which leads the file in a skippable frame (magic 0x184D2A5
 record is a frame of its own. Readers walk the frames and need nothing else.
 
 Records with equal payloads are found by digest: an aggregation (combined before the
-shuffle) gives each digest's largest page_id, and a join brings it to the pages; adaptive
-execution splits a hot digest. Every task attempt writes archives under names of its own and
+shuffle) gives each digest's largest page_id, for those that several records have. A join brings it
+to the pages: by broadcast where these digests are counted to be at most ``MAX_BROADCAST``, so no
+payload is moved; else by a shuffle, of which adaptive execution splits a hot digest. Every task attempt writes archives under names of its own and
 only names that a finished task returned are read, so lost executors leave no wrong files.
 
 Defined cases: a null html is an empty payload; a null page_id is smaller than any other, and
@@ -33,6 +34,8 @@ from .common import fresh_path, read_bytes, settle, text_or_empty, write_bytes
 DICT_MAGIC = 0x184D2A5D
 ROLL = 48 << 20
 SAMPLE = 2 << 20
+#: Digests (28 bytes each) that are broadcast at most.
+MAX_BROADCAST = 500_000
 
 
 def _clean(s: str) -> str:
@@ -131,11 +134,13 @@ def parse(rec: bytes) -> dict:
     return {"page_id": name("WARC-Record-ID"), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": name("WARC-Refers-To"), "url": fields["WARC-Target-URI"]}
 
 
-def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def with_revisits(pages: DataFrame, min_bytes: int = 0, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """page_id, url, html and refers_to: null for responses, else the page whose payload is equal."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_or_empty("html").alias("html"))
     p = p.withColumn("digest", F.unhex(F.sha1("html")))
     groups = p.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("first").isNotNull())
+    groups = settle(groups.select("digest", "first"), "warc-digests")
+    groups = F.broadcast(groups) if groups.count() <= max_broadcast else groups
     far = F.when((F.octet_length("html") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return p.join(groups, "digest", "left").select("page_id", "url", "html", far.alias("refers_to"))
 

@@ -180,9 +180,28 @@ def test_archives(spark, tmp_path):
         want[i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if same else "revisit", None if same else top] += 1
     assert collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
     assert warc.round_trip(df.limit(0)).count() == 0
+    plain, shuffled = (sorted(map(str, warc.with_revisits(df, 0, n).collect())) for n in (10**6, 0))
+    assert plain == shuffled
     assert warc.with_revisits(df, min_bytes=5).where("refers_to is not null and octet_length(html) < 5").count() == 0
 
 
+def test_registered_archives_against_brute_force(spark, sf_dir):
+    """The whole pages table, with a page of some megabytes beside it."""
+    rows = [(r.page_id, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    long = (10**9, "<p>é</p>" * 700_000)
+    best = {}
+    for i, h in rows + [long]:
+        best[h or ""] = max(best.get(h or "", i), i)
+
+    def want(rows):
+        return {(i, len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), *(("response", None) if best[h or ""] == i else ("revisit", best[h or ""]))) for i, h in rows}
+
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert {tuple(r) for r in Q.op8_warc(spark, sf_dir).select(columns).collect()} == want(rows)
+    two = spark.createDataFrame([(*long, "u"), (5, "x", "u")], "page_id long, html string, url string")
+    assert {tuple(r) for r in warc.round_trip(two).select(columns).collect()} == want([long]) | {(5, 1, base64.b32encode(hashlib.sha1(b"x").digest()).decode(), "response", None)}
+
+
 def test_archive_layout():
     a = warc.Archive()
     recs = [warc.record(i, f"http://example.org/{i}", (f"<html><body>page {i} " + "common words " * 30).encode(), None) for i in range(9000)]
