@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it
 below the shared folder and reads it back as the next stage's docs. All stages but the last
 return the columns of documents, in their order.
 
-1. language_id: documents whose text has no letter, or no learned language, go.
+1. language_id: documents whose text has no letter or no leading language, or whose letters are far from the order
+   of any learned language (langid's ``fit``), go.
 2. near_dedup: of each class of near copies the document with the smallest doc_id stays.
 3. decontaminate: documents that hold a window of a benchmark item go.
 4. secrets: secrets in texts give way to a mark.
@@ -24,7 +25,7 @@ from quarry.llm.common import read_table, settle
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.keep_identified(docs, min_score=0.0)
+    return langid.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
