@@ -14,7 +14,9 @@ row; an empty table an empty result; columns besides doc_id and text are ignored
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -169,46 +171,117 @@ def _jpeg(b: bytes, at: int) -> tuple[int, str, tuple] | None:
     return None
 
 
-def _zip(b: bytes, at: int) -> tuple[int, str, tuple] | None:
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
-        n, size, start, note = struct.unpack_from("<HIIH", b, end + 10)
-        if at + start + size == end and end + 22 + note <= len(b) and (not n or b[at + start : at + start + 4] == b"PK\x01\x02"):
-            return end + 22 + note, f"zip:{n}", ("none",)
-        end = b.find(b"PK\x05\x06", end + 4)
-    return None
+def _zip(b: bytes, at: int, memo: dict) -> tuple[int, str, tuple] | None:
+    if "zip" not in memo:  # where each end record says its archive begins: one pass over the blob
+        memo["zip"] = starts = {}
+        end = b.find(b"PK\x05\x06")
+        while end >= 0 and end + 22 <= len(b):
+            n, size, start, note = struct.unpack_from("<HIIH", b, end + 10)
+            if end + 22 + note <= len(b) and (not n or b[end - size : end - size + 4] == b"PK\x01\x02"):
+                starts.setdefault(end - size - start, (end + 22 + note, f"zip:{n}", ("none",)))
+            end = b.find(b"PK\x05\x06", end + 4)
+    return memo["zip"].get(at)
 
 
 def _gzip(b: bytes, at: int) -> tuple[int, str, tuple] | None:
     d = zlib.decompressobj(31)
-    n, i = 0, at
+    n, i, rest = 0, at, b""
     try:
-        while not d.eof and i < len(b):
-            n += len(d.decompress(b[i : i + 65536]))
-            i += 65536
+        while not d.eof and (rest or i < len(b)):
+            if not rest:
+                rest, i = b[i : i + 65536], i + 65536
+            n += len(d.decompress(rest, 1 << 20))  # a megabyte of output at a time
+            rest = d.unconsumed_tail
     except zlib.error:
         return None
     return (min(i, len(b)) - len(d.unused_data), f"gzip:{n}", ("none",)) if d.eof else None
 
 
-def _pdf(b: bytes, at: int) -> tuple[int, str, tuple] | None:
-    i = b.find(b"%%EOF", at)
-    return (i + 5, f"pdf:{b[at + 5 : at + 8].decode('latin-1')}", ("none",)) if i > 0 and b.find(b"startxref", at, i) > 0 else None
+def _pdf(b: bytes, at: int, memo: dict) -> tuple[int, str, tuple] | None:
+    if "pdf" not in memo:
+        memo["pdf"] = [[m.start() for m in re.finditer(x, b)] for x in (b"%%EOF", b"startxref")]
+    ends, refs = memo["pdf"]
+    i, j = bisect.bisect_left(ends, at), bisect.bisect_left(refs, at)
+    if i == len(ends) or j == len(refs) or refs[j] > ends[i]:
+        return None
+    return ends[i] + 5, f"pdf:{b[at + 5 : at + 8].decode('latin-1')}", ("none",)
+
+
+@lru_cache(3)
+def _crc_table(poly: int, bits: int) -> list[int]:
+    top, mask, out = 1 << bits - 1, (1 << bits) - 1, []
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ poly if x & top else x << 1) & mask
+        out.append(x)
+    return out
+
+
+def _crc(data: bytes, poly: int, bits: int, crc: int = 0) -> int:
+    """Highest bit first, from 0."""
+    table, shift, mask = _crc_table(poly, bits), bits - 8, (1 << bits) - 1
+    for x in data:
+        crc = (crc << 8 ^ table[crc >> shift ^ x]) & mask
+    return crc
+
+
+def _flac_header(b: bytes, i: int) -> tuple[int, int] | None:
+    """Length and samples of the frame header at i, if its checksum holds."""
+    if i + 6 > len(b) or b[i] != 0xFF or b[i + 1] & 0xFE != 0xF8:
+        return None
+    size, rate, first = b[i + 2] >> 4, b[i + 2] & 15, b[i + 4]
+    number = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4 if first < 0xF8 else 5 if first < 0xFC else 6 if first < 0xFE else 7
+    at = i + 4 + number
+    wide = {6: 1, 7: 2}.get(size, 0)
+    end = at + wide + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if not size or rate == 15 or b[i + 3] & 1 or end >= len(b) or _crc(b[i:end], 0x07, 8) != b[end]:
+        return None
+    n = int.from_bytes(b[at : at + wide], "big") + 1 if wide else 192 if size == 1 else 576 << size - 2 if size < 6 else 256 << size - 8
+    return end + 1 - i, n
 
 
 def _flac(b: bytes, at: int) -> tuple[int, str, tuple] | None:
-    ok = len(b) - at >= 42 and b[at + 4] & 127 == 0 and int.from_bytes(b[at + 5 : at + 8], "big") == 34
-    return (len(b), f"flac:{int.from_bytes(b[at + 18 : at + 21], 'big') >> 4}hz", ("none",)) if ok else None
+    """Metadata blocks, then frames whose headers' and own checksums hold, up to the stream's number of samples."""
+    i, last, info = at + 4, False, None
+    while not last:
+        if i + 4 > len(b):
+            return None
+        last, kind, n = b[i] > 127, b[i] & 127, int.from_bytes(b[i + 1 : i + 4], "big")
+        if i + 4 + n > len(b) or (info is None) != (kind == 0) or kind == 0 and n != 34:
+            return None
+        if kind == 0:
+            info = b[i + 4 : i + 38]
+        i += 4 + n
+    largest, total = int.from_bytes(info[7:10], "big") or len(b), int.from_bytes(info[13:18], "big") & (1 << 36) - 1
+    done = 0
+    while done < total:
+        head = _flac_header(b, i)
+        if head is None:
+            return None
+        crc, j = _crc(b[i : i + head[0]], 0x8005, 16), i + head[0]
+        stop, final = min(len(b), i + largest), done + head[1] >= total
+        while True:  # a frame and its checksum leave 0; behind it is a frame or, at the last, the end of the stream
+            if j >= stop:
+                return None
+            crc, j = _crc(b[j : j + 1], 0x8005, 16, crc), j + 1
+            if crc == 0 and j - i >= head[0] + 3 and (final or _flac_header(b, j)):
+                break
+        i, done = j, done + head[1]
+    return i, f"flac:{int.from_bytes(info[10:13], 'big') >> 4}hz:{total}", ("none",)
 
 
 def _ogg(b: bytes, at: int) -> tuple[int, str, tuple] | None:
+    """Pages whose checksums hold, up to the stream's last one (or as far as they go)."""
     i, pages = at, 0
     while b[i : i + 4] == b"OggS" and i + 27 <= len(b) and b[i + 4] == 0:
         n = b[i + 26]
         size = 27 + n + sum(b[i + 27 : i + 27 + n])
-        if i + size > len(b):
-            return None
+        if i + size > len(b) or _crc(b[i : i + 22] + bytes(4) + b[i + 26 : i + size], 0x04C11DB7, 32) != int.from_bytes(b[i + 22 : i + 26], "little"):
+            break
         i, pages = i + size, pages + 1
+        if b[i - size + 5] & 4 and b[i : i + 4] != b"OggS":
+            break
     return (i, f"ogg:{pages}", ("none",)) if pages else None
 
 
@@ -226,10 +299,10 @@ def _automaton() -> ahocorasick.Automaton:
 
 def items(blob: bytes) -> list[tuple[str, int, int, str, tuple]]:
     """(format, start, end, description, samples) of the media in blob, by start, none inside another."""
-    found, free = [], 0
+    found, free, memo = [], 0, {}
     for last, (back, kind) in _automaton().iter(blob.decode("latin-1")):
         at = last - back
-        if at >= free and (got := VALIDATE[kind](blob, at)):
+        if at >= free and (got := VALIDATE[kind](blob, at, memo) if kind in ("zip", "pdf") else VALIDATE[kind](blob, at)):
             found.append((kind, at, got[0], got[1], got[2]))
             free = got[0]
     return found

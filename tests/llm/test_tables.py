@@ -164,6 +164,43 @@ def test_other_formats():
         assert [(k, a, e) for k, a, e, _, _ in media.items(blob)] == [(kind, 0, len(blob))]
 
 
+def test_audio_checksums():
+    """FLAC frames and Ogg pages count as far as their checksums hold, with other bytes behind."""
+    info = struct.pack(">HH", 192, 192) + bytes(6) + (44100 << 44 | 15 << 36 | 384).to_bytes(8, "big") + bytes(16)
+    flac = b"fLaC" + b"\x80\x00\x00\x22" + info
+    for i in range(2):
+        head = bytes([0xFF, 0xF8, 0x19, 0x08, i])
+        frame = head + bytes([media._crc(head, 0x07, 8)]) + b"\x00" + struct.pack(">h", 5 + i)
+        flac += frame + struct.pack(">H", media._crc(frame, 0x8005, 16))
+    page = lambda flags, body: (lambda p: p[:22] + struct.pack("<I", media._crc(p, 0x04C11DB7, 32)) + p[26:])(b"OggS\0" + bytes([flags]) + bytes(16) + bytes(4) + bytes([1, len(body)]) + body)
+    ogg = page(2, b"x" * 40) + page(4, b"y" * 9)
+    for kind, blob in (("flac", flac), ("ogg", ogg)):
+        assert [(k, a, e) for k, a, e, _, _ in media.items(b"junk" + blob + b"more OggS bytes")] == [(kind, 4, 4 + len(blob))]
+        bad = bytearray(blob)
+        bad[-5] ^= 1
+        assert [e for _, _, e, _, _ in media.items(bytes(bad))] in ([], [len(page(2, b"x" * 40))])
+
+
+def test_many_signatures_take_one_pass():
+    import time
+
+    blob = b"PK\x03\x04 %PDF-1.4 " * 40_000 + b"PK\x05\x06" * 1000
+    began = time.time()
+    assert media.items(blob) == [] and time.time() - began < 20
+
+
+def test_registered_media_against_brute_force(spark, sf_dir):
+    """The whole documents table: what is read back is the padded text."""
+    text = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = Q.op7_media_columns(spark, sf_dir).collect()
+    assert len(got) == len(text)
+    for r in got:
+        b = text[r.doc_id]
+        p = b + b" " * (-len(b) % 192 if b else 192)
+        blob = media.encode(p, media.KINDS[zlib.crc32(p) % len(media.KINDS)])
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(blob), hashlib.sha256(blob).hexdigest())
+
+
 def test_archives(spark, tmp_path):
     pages = [(i, f"http://x/{i}\r\nEvil: 1", ["<p>same</p>", f"<p>{i}é</p>" * 200, None, ""][i % 4]) for i in range(40)] + [(None, None, "<p>same</p>"), (None, None, "<p>lone</p>"), (3, "u", "")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).withColumn("digest", F.lit("clash"))
