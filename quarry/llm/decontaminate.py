@@ -35,8 +35,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PIECE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 N = 10
 ANCHOR = 3
-#: Rows broadcast at most: anchors (a number each), windows (about a hundred bytes each), texts with hits (two numbers).
-MAX_ANCHORS, MAX_WINDOWS, MAX_KEYS = 2_000_000, 200_000, 2_000_000
+#: Rows broadcast at most: anchors (a number each), windows and texts with hits (some hundred bytes each).
+MAX_ANCHORS, MAX_WINDOWS, MAX_KEYS = 2_000_000, 200_000, 100_000
 
 
 def words_of(c: Column) -> Column:
@@ -72,13 +72,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = M
     near = lambda df, count, most: F.broadcast(df) if count <= most else df
     anchors = table.groupBy("anchor").agg(F.collect_set("len").alias("lens"))  # at most n lengths
     w = F.col("w")
-    place = lambda k: lambda _, i: F.struct(i.alias("pos"), _anchor(w, i, k).alias("anchor"))
-    places = F.concat(*[F.transform(w, place(k)) for k in sorted(kinds) or [ANCHOR]])
-    at = docs.select(*_key(), words_of(text_or_empty()).alias("w")).select("k1", "k2", "w", F.explode(places).alias("p")).select("k1", "k2", "w", "p.pos", "p.anchor")
+    anchor = lambda k: lambda _, i: _anchor(w, i, k)
+    places = F.concat(*[F.transform(w, anchor(k)) for k in sorted(kinds) or [ANCHOR]])  # one after the other
+    at = docs.select(*_key(), words_of(text_or_empty()).alias("w")).select("k1", "k2", "w", F.posexplode(places).alias("pos", "anchor"))
     sets = -(-n_anchors // max_anchors) or 1
     part = lambda i: anchors.where(F.pmod(F.xxhash64(F.lit(3), "anchor"), F.lit(sets)) == i)
     passed = reduce(DataFrame.unionByName, [at.join(F.broadcast(part(i)), "anchor") for i in range(sets)])
-    passed = passed.select("k1", "k2", "w", "pos", F.explode("lens").alias("len")).where(F.col("pos") + F.col("len") <= F.size("w"))
+    passed = passed.select("k1", "k2", "w", (F.col("pos") % F.size("w")).alias("pos"), F.explode("lens").alias("len")).where(F.col("pos") + F.col("len") <= F.size("w"))
     passed = passed.select("k1", "k2", "pos", "len", F.array_join(F.slice("w", F.col("pos") + 1, F.col("len")), " ").alias("gram"))
     found = passed.join(near(table.select("gram", "len", "items"), n_windows, max_windows), ["gram", "len"])
     spans = found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
