@@ -64,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_warc": warc.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
 }

@@ -193,4 +193,14 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return read(write(pages, fresh_path(pages.sparkSession, "warc"), min_bytes=min_bytes))
 
 
-ORACLE_SQL = None
+#: The digest's 160 bits, twenty at a time, are four characters each.
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS first FROM p),
+g AS (SELECT *, list_transform(range(0, 8), lambda j: CAST('0x' || substr(d, CAST(5 * j + 1 AS INTEGER), 5) AS INTEGER)) AS v FROM f)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(v, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 15) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 10) & 31) + 1, 1)
+         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g
+"""
