@@ -118,6 +118,11 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.run_once(spark, sf_dir, lambda df: S.tumbling(to_log(df), "1 hour", "1 hour"), "complete")
 
 
+RECOMMEND_SQL = f"""WITH {BASE}, s AS (SELECT session_id, count(*) FILTER (event_type = 'view') AS n FROM ev GROUP BY 1),
+m AS (SELECT avg(value) FILTER (event_type = 'view') AS avg_time, count(*) FILTER (event_type = 'error') / nullif(count(*) FILTER (event_type IN ('view', 'error')), 0) AS error_rate, avg(k / 100) FILTER (event_type = 'view') AS average_score,
+ count(*) FILTER (event_type = 'purchase' OR event_type = 'click' AND k % 5 <> 0) / nullif(count(*) FILTER (event_type IN ('click', 'purchase')), 0) AS satisfaction, count(*) FILTER (event_type = 'click' AND k % 5 <> 0) / nullif(count(*) FILTER (event_type = 'view'), 0) AS click_rate,
+ (SELECT avg(CASE WHEN n = 1 THEN 1.0 ELSE 0 END) FROM s) AS bounce_rate FROM ev)
+{" UNION ALL ".join(f"SELECT '{n}' AS name, '{i}' AS impact FROM m WHERE {c}" for n, c, i in A.RECOMMENDATIONS)}"""
 STREAM_SQL = """SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket, count(*) FILTER (event_type = 'view') AS queries, count(*) FILTER (event_type = 'error') AS errors, round(coalesce(sum(value) FILTER (event_type = 'view'), 0), 4) AS total_time FROM events GROUP BY 1"""
 QUERIES: dict[str, tuple[Run, str | None]] = {
     "an_performance": (
@@ -148,7 +153,7 @@ SELECT (SELECT count(*) FROM s) AS sessions, (SELECT round(avg(n), 6) FROM s) AS
     "an_experiment": (rounded(A.experiments, "total"), f"WITH {BASE} SELECT 'exp' AS experiment_id, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS variant, 'value' AS metric, round(sum(round(value, 2)), 6) AS total, count(DISTINCT session_id) AS participants FROM ev WHERE event_type = 'signup' GROUP BY ALL"),
     "an_smoothed": (rounded(A.smoothed, "smoothed"), f"WITH {BASE}, x AS (SELECT CASE k % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'keyword' ELSE 'phrase' END AS strategy, value, row_number() OVER (PARTITION BY k % 3 ORDER BY ts DESC, query_id DESC) - 1 AS after FROM ev WHERE event_type = 'view') SELECT strategy, 'short' AS size, round(sum(0.1 * pow(0.9, after) * value), 6) AS smoothed FROM x GROUP BY 1"),
     "an_latency": (rounded(lambda e: A.latency_stats(e.where("event_type = 'performance'")), "mean", "stddev"), f"WITH {BASE} SELECT min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stddev, {PCT.format(q=0.5)} AS median, {PCT.format(q=0.95)} AS p95, {PCT.format(q=0.99)} AS p99 FROM ev WHERE event_type = 'view'"),
-    "an_recommendations": (recommend, None),
+    "an_recommendations": (recommend, RECOMMEND_SQL),
     "an_sessions": (sessions, "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS asked, CAST(sum(len(string_split_regex(text, '\\s+'))) AS BIGINT) AS words FROM conversations GROUP BY 1"),
     "queue_status": (queue_status, f"WITH d AS (SELECT *, doc_id % 4 AS m FROM documents) SELECT lang AS collection_name, {ST} FROM d GROUP BY 1 UNION ALL SELECT '*', {ST} FROM d"),
     "queue_claim": (queue_claim, "SELECT collection_name, id, priority, created_at FROM (SELECT lang AS collection_name, CAST(doc_id AS VARCHAR) AS id, CAST(doc_id % 5 AS INTEGER) AS priority, doc_id + 1000 AS created_at, row_number() OVER (PARTITION BY lang ORDER BY doc_id % 5 DESC, doc_id, CAST(doc_id AS VARCHAR)) AS n FROM documents WHERE doc_id % 4 = 0) WHERE n <= 10"),

@@ -51,6 +51,7 @@ def semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o = read(spark, sf_dir, "customer", "orders")
+    o = o.where("o_orderstatus = 'F' AND o_totalprice > 200000")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
@@ -108,7 +109,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "rel_pricing_summary": (pricing_summary, PRICING),
     "rel_five_join": (sql(FIVE_JOIN, "customer", "orders", "lineitem", "supplier", "nation", "region"), FIVE_JOIN),
     "rel_semi_join": (semi, "SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY 1"),
-    "rel_anti_join": (anti, "SELECT c_mktsegment, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY 1"),
+    "rel_anti_join": (anti, "SELECT c_mktsegment, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 200000) GROUP BY 1"),
     "rel_left_coverage": (coverage, "SELECT lang, count(*) AS documents, count(vec_id) AS embedded FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY 1"),
     "rel_full_outer": (full_outer, "SELECT coalesce(a.k, b.k) AS k, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS customers FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1) b ON a.k = b.k"),
     "rel_rollup": (

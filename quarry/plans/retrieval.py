@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -105,6 +106,11 @@ def fts_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fts(content_index(spark, sf_dir), "NEAR(worthless idiot, 20)").select("rowid", "fts_score")
 
 
+NEAR_CTE = re.sub(r"qt AS \(.*?FROM benchmark\)", "qt AS (SELECT * FROM (VALUES (0, 'worthless'), (0, 'idiot')) v(query_id, term))", bm25_cte(), flags=re.S)
+NEAR_SQL = rf"""WITH {NEAR_CTE}, spots AS (SELECT rowid, w[i] AS term, i FROM (SELECT doc_id AS rowid, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {TOK} AS w FROM documents))),
+nr AS (SELECT DISTINCT a.rowid FROM spots a JOIN spots b ON a.rowid = b.rowid AND a.term = 'worthless' AND b.term = 'idiot' AND abs(a.i - b.i) <= 21) SELECT rowid, fts_score FROM bm JOIN nr USING (rowid)"""
+
+
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.vocabulary(content_index(spark, sf_dir))
 
@@ -138,7 +144,7 @@ li AS (SELECT query_id, rowid, CAST(like_rank AS INTEGER) AS like_rank FROM lh W
 
 def like_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     (d,) = read(spark, sf_dir, "documents")
-    each = d.select("doc_id", F.element_at(F.split("text", r"[ \n]"), 1).alias("q"))
+    each = d.select("doc_id", F.explode(F.split("text", r"[ \n]")).alias("q"))
     return each.groupBy(F.coalesce(search.like_skip_column(F.col("q")), F.lit("run")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -312,6 +318,12 @@ def personalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.personalize(rows, clicks).select("query_id", "id", F.round("personal_score", 6).alias("personal_score"), "rank", "rank_change")
 
 
+PERSONAL_SQL = rf"""WITH {RES}, c AS (SELECT 'src' || (item_id % 20) AS user_id, list_distinct(string_split_regex(lower(array_to_string(list_slice({TOK}, 1, 5), ' ')), '\s+')) AS c FROM benchmark), g AS (SELECT user_id, list(c) AS cs FROM c GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS o, list_distinct(string_split_regex(lower(title || ' ' || content), '\s+')) AS w FROM res),
+s AS (SELECT query_id, id, o, score, coalesce(len(list_filter(cs, lambda x: len(list_intersect(x, w)) / len(x) > 0.3)) / len(cs) * 0.3, 0) AS p FROM r LEFT JOIN g ON user_id = query_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score * (1 + 0.1 * p) DESC, o) AS n FROM s) SELECT query_id, id, round(p, 6) AS personal_score, CAST(n AS INTEGER) AS rank, CAST(o - n AS INTEGER) AS rank_change FROM t"""
+
+
 def jaccard_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of each result with the one ranked before it."""
     ws = F.array_distinct(F.split(F.lower("content"), r"\s+"))
@@ -321,9 +333,9 @@ def jaccard_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's first sentence as a query."""
+    """Each document's text as a query."""
     (d,) = read(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("query_id"), F.regexp_extract("text", r"^([^.\n]{0,60})", 1).alias("query"))
+    return d.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def plan_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,7 +344,7 @@ def plan_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WORDS_SQL = "string_split_regex(q, '\\s+')"
-PLAN_SQL = rf"""WITH a AS (SELECT doc_id AS query_id, trim(regexp_replace(regexp_replace(trim(lower(regexp_extract(text, '^([^.\n]{{0,60}})', 1))), '\s+', ' ', 'g'), '[^A-Za-z0-9_\s"''-]', ' ', 'g')) AS q FROM documents),
+PLAN_SQL = rf"""WITH a AS (SELECT doc_id AS query_id, trim(regexp_replace(regexp_replace(trim(lower(text)), '\s+', ' ', 'g'), '[^A-Za-z0-9_\s"''-]', ' ', 'g')) AS q FROM documents),
 b AS (SELECT *, {WORDS_SQL} AS w FROM a),
 c AS (SELECT query_id, q AS normalized, CAST(len(w) AS INTEGER) AS word_count, regexp_matches(q, '^(which|what|how|where|when|why|who)\b') AS has_question_words, regexp_matches(q, '\b(and|or|not)\b') AS has_boolean_operators,
  regexp_matches(q, '[*?]') AS has_wildcards, regexp_matches(q, '"[^"]*"') AS has_quotes, regexp_matches(q, '[0-9]') AS has_numbers, regexp_matches(q, '[''";:,.]') AS has_special_characters,
@@ -422,7 +434,7 @@ QUERIES: dict[str, tuple[Run, str | None]] = {
     "fts_bm25_and": (fts_run("and", 3), ranked(bm25_cte(1, 3), 10, "and") + " SELECT * FROM f"),
     "fts_prefix": (fts_prefix, PREFIX_SQL),
     "fts_boolean_phrase": (fts_boolean, BOOLEAN_SQL),
-    "fts_near": (fts_near, None),
+    "fts_near": (fts_near, NEAR_SQL),
     "fts_vocabulary": (vocabulary, rf"SELECT term, count(DISTINCT rowid) AS docs, count(*) AS occurrences FROM (SELECT doc_id AS rowid, unnest({TOK}) AS term FROM documents) GROUP BY 1"),
     "vec_knn_l2": (knn_run("l2"), knn_sql(L2)),
     "vec_knn_cosine": (knn_run("cosine"), knn_sql(COS)),
@@ -433,7 +445,7 @@ QUERIES: dict[str, tuple[Run, str | None]] = {
     "vec_functions": (vector_functions, "WITH j AS (SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(list_inner_product(x, y), 6) AS dot, round(list_sum(list_transform(list_zip(x, y), lambda p: abs(p[1] - p[2]))), 6) AS l1, 1.0::DOUBLE AS unit, round(list_cosine_distance(x, y), 6) AS cosine, 8 AS part FROM j"),
     "vec_hash_embedding": (embed_run, "SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[\\p{L}\\p{N}]')) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm, 16 AS dims FROM documents"),
     "like_search": (like_run, f"WITH {LIKE_CTE} SELECT * FROM li"),
-    "like_guard": (like_guard, f"WITH q AS (SELECT trim(string_split_regex(text, '[ \\n]')[1]) AS q FROM documents) SELECT CASE WHEN length(q) < 3 THEN 'too_short' WHEN lower(q) IN ({STOP_SQL}) THEN 'stop_word' ELSE 'run' END AS outcome, count(*) AS n FROM q GROUP BY 1"),
+    "like_guard": (like_guard, f"WITH q AS (SELECT trim(unnest(string_split_regex(text, '[ \\n]'))) AS q FROM documents) SELECT CASE WHEN length(q) < 3 THEN 'too_short' WHEN lower(q) IN ({STOP_SQL}) THEN 'stop_word' ELSE 'run' END AS outcome, count(*) AS n FROM q GROUP BY 1"),
     "hybrid_rrf2": (hybrid_run("rrf", False), hybrid_sql("rrf", False)),
     "hybrid_weighted2": (hybrid_run("weighted", False), hybrid_sql("weighted", False)),
     "hybrid_rrf3": (hybrid_run("rrf", True), hybrid_sql("rrf", True)),
@@ -465,8 +477,8 @@ QUERIES: dict[str, tuple[Run, str | None]] = {
     "mmd": (diversify_run("mmd"), None),
     "result_pipeline": (processed, None),
     "snippets": (snippets_run, None),
-    "ml_rerank": (ml_run, None),
-    "personalised": (personalized, None),
+    "ml_rerank": (ml_run, f"WITH {RES} SELECT query_id, id, round(least(1, greatest(0, 0.4 * score + 0.3 * len(list_filter(['the', 'of', 'worthless'], lambda x: list_contains(string_split_regex(lower(title), '\\s+'), x))) / 3 + 0.2 * 0.5 + CASE WHEN query_id IS NULL THEN 0 ELSE 0.1 * 0.2 END)), 6) AS ml_score, CAST(rank AS INTEGER) AS original_rank FROM res"),
+    "personalised": (personalized, PERSONAL_SQL),
     "query_features": (plan_features, PLAN_SQL.replace("SELECT * EXCLUDE (cmp)", "SELECT * EXCLUDE (cmp, s)")),
     "query_weights": (plan_weights, WEIGHTS_SQL),
     "query_advanced": (plan_advanced, None),
