@@ -183,6 +183,33 @@ def java_hash(c: Column) -> Column:
     return F.when(F.length(c) == 0, F.lit(0).cast("long")).otherwise(folded)
 
 
+def djb_hash(c: Column) -> Column:
+    """Bernstein's hash (5381, times 33) of a string's UTF-16 units in lower-case hex, as scripts compute it: only the
+    shift wraps to 32 bits, the sum doesn't."""
+    units = F.split(F.hex(F.encode(c, "UTF-16BE")), "(?<=\\G.{4})")
+    number = lambda u: F.conv(u, 16, 10).cast("long")
+    wrap = lambda x: F.pmod(x + F.lit(2**31), F.lit(2**32)) - F.lit(2**31)
+    step = lambda h, u: F.when(u == "", h).otherwise(wrap(wrap(h) * 32) + h + number(u))
+    return F.lower(F.hex(F.abs(F.aggregate(units, F.lit(5381).cast("long"), step))))
+
+
+def zero_blob(n: Column) -> Column:
+    """n zero bytes."""
+    return F.unhex(F.repeat(F.lit("00"), n))
+
+
+def random_blob(n: Column, seed: Column) -> Column:
+    """n bytes that follow from seed."""
+    more = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 32).cast("int")), lambda i: F.sha2(F.concat(seed.cast("string"), F.lit(":"), i.cast("string")), 256))
+    return F.when(n > 0, F.substring(F.unhex(F.array_join(more, "")), F.lit(1), n)).otherwise(F.lit(b""))
+
+
+def safe_json(c: Column, schema: str, default: Column | None = None) -> Column:
+    """c parsed, or default where it can't be."""
+    parsed = F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, schema))
+    return parsed if default is None else F.coalesce(parsed, default)
+
+
 def base36(n: Column) -> Column:
     return F.lower(F.conv(n.cast("string"), 10, 36))
 

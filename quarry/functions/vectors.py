@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import guards
 from .text import tokens
 
 DIMENSIONS = (384, 512, 768, 1024, 1536, 3072)
@@ -195,6 +198,12 @@ def hash_embedding(text: Column, n: int = 64) -> Column:
     return _scaled(let(signed, raw))
 
 
+def random_embedding(seed: Column, n: int) -> Column:
+    """n numbers in [-1, 1) that follow from seed."""
+    unit = lambda i: F.shiftrightunsigned(F.xxhash64(seed, i), 11) * F.lit(2.0**-52) - 1
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: unit(i).cast("float"))
+
+
 class EmbeddingProvider(ABC):
     """Something that turns texts into vectors; it is sent to the workers."""
 
@@ -214,6 +223,83 @@ class EmbeddingProvider(ABC):
         """Called once in each task after the last batch."""
 
 
+class RemoteProvider(EmbeddingProvider):
+    """A remote service behind ``client`` (texts -> vectors; picklable): calls are spaced by ``per_second``, end after
+    ``timeout`` seconds and are repeated with growing delays on retryable errors; ``fallback`` stands in when all fail."""
+
+    def __init__(self, client: Callable[[list[str]], list[list[float]]], dimensions: int = 1536, batch: int = 100, timeout: float = 5.0, retries: int = 3, per_second: float = 50.0, fallback: EmbeddingProvider | None = None, sleep: Callable[[float], None] = time.sleep):
+        self.client, self.dimensions, self.batch, self.timeout, self.retries, self.per_second, self.fallback, self.sleep = client, dimensions, batch, timeout, retries, per_second, fallback, sleep
+        self.last = 0.0
+        self.metrics = {"embeddings": 0, "seconds": 0.0, "mean_seconds": 0.0, "errors": 0, "fallbacks": 0}
+
+    def _ask(self, texts: list[str]) -> list[list[float]]:
+        wait = self.last + 1 / self.per_second - time.monotonic()
+        if wait > 0:
+            self.sleep(wait)
+        self.last = time.monotonic()
+        pool = ThreadPoolExecutor(1)
+        try:
+            got = pool.submit(self.client, texts).result(self.timeout)
+        finally:
+            pool.shutdown(wait=False)
+        if len(got) != len(texts) or any(len(v) != self.dimensions for v in got):
+            raise ValueError(f"the service answered with vectors of other sizes than {self.dimensions}")
+        return got
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        for attempt in range(1, self.retries + 2):
+            began = time.monotonic()
+            try:
+                got = self._ask(texts)
+            except Exception as e:
+                self.metrics["errors"] += 1
+                if attempt <= self.retries and guards.classify(e).recoverable:
+                    self.sleep(min(2.0 ** (attempt - 1), 30.0))
+                    continue
+                if self.fallback is None:
+                    raise
+                self.metrics["fallbacks"] += 1
+                return self.fallback.embed(texts)
+            m = self.metrics  # the mean is that of all embeddings so far
+            m["embeddings"] += len(texts)
+            m["seconds"] += time.monotonic() - began
+            m["mean_seconds"] = m["seconds"] / m["embeddings"]
+            return got
+        raise AssertionError
+
+
+class Registry:
+    """Providers by name, made when first asked for and let go when idle for ``idle`` seconds."""
+
+    def __init__(self, idle: float = 1800.0, clock: Callable[[], float] = time.monotonic):
+        self.idle, self.clock, self.makers, self.live = idle, clock, {}, {}
+
+    def register(self, name: str, make: Callable[[], EmbeddingProvider], preload: bool = False) -> None:
+        self.makers[name] = make
+        if preload:
+            self.get(name)
+
+    def get(self, name: str) -> EmbeddingProvider:
+        self.evict()
+        if name not in self.live:
+            provider = self.makers[name]()
+            provider.initialize()
+            self.live[name] = [provider, 0.0, 0]
+        entry = self.live[name]
+        entry[1], entry[2] = self.clock(), entry[2] + 1
+        return entry[0]
+
+    def evict(self) -> list[str]:
+        """Let idle providers go; their names."""
+        gone = [n for n, (_, used, _) in self.live.items() if self.clock() - used > self.idle]
+        for n in gone:
+            self.live.pop(n)[0].cleanup()
+        return gone
+
+    def most_used(self, n: int = 5) -> list[str]:
+        return sorted(self.live, key=lambda x: (-self.live[x][2], x))[:n]
+
+
 class HashProvider(EmbeddingProvider):
     """The hash embedder for callers that need a provider."""
 

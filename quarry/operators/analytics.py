@@ -121,6 +121,48 @@ def top_queries(events: DataFrame, n: int = 10, interval: str | None = None) ->
     return events.where("event_type = 'query'").groupBy(F.trim(F.lower("query")).alias("query")).agg(F.count(F.lit(1)).alias("uses")).orderBy(F.desc("uses"), "query").limit(n)
 
 
+#: How many of the latest entries each history keeps (fixed values).
+HISTORY = {"context": 10, "user": 50, "optimizer": 100, "events": 10_000, "series": 1440}
+
+
+def latest(df: DataFrame, kind: str, by: list[str] | None = None, order: str = "ts", tie: str = "query_id") -> DataFrame:
+    """The latest rows that a history of this kind keeps, of each key in by (or of all)."""
+    n = HISTORY[kind]
+    if not by:
+        return df.orderBy(F.desc(order), F.desc(tie)).limit(n)
+    w = Window.partitionBy(*by).orderBy(F.desc(order), F.desc(tie))
+    return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+
+
+def top_scores(results: DataFrame, n: int = 10) -> DataFrame:
+    """query_id, scores: each query's n best scores, best first."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = results.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n)
+    return best.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "score"))), lambda x: x["score"]).alias("scores"))
+
+
+def ordered_union(*lists: Column, most: int | None = None) -> Column:
+    """The distinct items of several arrays in order of their first place."""
+    out = F.array_distinct(F.concat(*lists))
+    return out if most is None else F.slice(out, 1, most)
+
+
+def realtime(events: DataFrame, now, interval: str = "1 minute") -> DataFrame:
+    """As of now: queries of the current interval, mean response time of all, and recent errors: each error counts until
+    an interval without its like has passed, one an interval, so with e errors in interval t the count is
+    max(0, count + e - 1) at its end."""
+    size = F.lit({"1 minute": 60, "1 hour": 3600, "1 day": 86_400}[interval])
+    e = events.where(F.col("ts") <= F.lit(now).cast("timestamp"))
+    slot = F.floor(F.unix_timestamp("ts") / size)
+    last = F.floor(F.unix_timestamp(F.lit(now).cast("timestamp")) / size)
+    per = e.where("event_type = 'error'").groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    # the reflected sum: what is left is the largest surplus of errors over intervals among all suffixes
+    w = Window.orderBy(F.desc("slot"))  # a row an interval with errors
+    left = per.withColumn("sum", F.sum("n").over(w)).agg(F.greatest(F.lit(0), F.max(F.col("sum") - (last - F.col("slot")))).alias("recent_errors"))
+    rest = e.agg(F.count_if((F.col("event_type") == "query") & (slot == last)).alias("last_queries"), F.avg(F.when(F.col("event_type") == "performance", F.col("search_time"))).alias("avg_time"))
+    return rest.withColumn("k", F.lit(1)).join(left.withColumn("k", F.lit(1)), "k").drop("k").fillna(0, ["recent_errors"])
+
+
 def time_series(events: DataFrame, metric: str, interval: str = "hour") -> DataFrame:
     """bucket, value ascending; a bucket with other events only has value 0. metric: query_count, error_count,
     average_response_time (a mean) or total_response_time."""

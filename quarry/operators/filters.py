@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,45 @@ def field_of(name: str, columns: list[str]) -> Column:
     return F.get_json_object("metadata", f"$.{path}")
 
 
+#: Functions that a script may call.
+SCRIPT_FUNCTIONS = frozenset("abs ceil ceiling floor round sqrt pow power mod least greatest length lower upper trim ltrim rtrim substring substr instr contains startswith endswith concat coalesce nullif if ifnull isnull isnotnull size array_contains year month day to_date date_diff get_json_object".split())
+_WORDS = frozenset("and or not in is null like rlike between case when then else end true false cast as string int bigint double date timestamp escape distinct from".split())
+_SCRIPT = re.compile(r"\s+|'(?:[^'\\]|\\.|'')*'|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|:[A-Za-z_]\w*|`[^`]+`|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*|<=>|<=|>=|<>|!=|==|\|\||[-+*/%(),<>=!]")
+
+
+def script(source: str, params: dict[str, Any]) -> str:
+    """A SQL condition over columns with its :params as literals. Only SCRIPT_FUNCTIONS may be called, and there are no
+    subqueries, comments or other statements."""
+    out, at = [], 0
+    while at < len(source):
+        m = _SCRIPT.match(source, at)
+        if not m:
+            raise ValueError(f"a script can't have {source[at : at + 10]!r}")
+        t, at = m[0], m.end()
+        if t.startswith(":"):
+            if t[1:] not in params:
+                raise ValueError(f"parameter {t} is missing")
+            t = _literal(params[t[1:]])
+        elif t[0].isalpha() or t[0] == "_":
+            called = re.match(r"\s*\(", source[at:])
+            if called and t.lower() not in SCRIPT_FUNCTIONS and t.lower() not in _WORDS or t.lower() in ("select", "with"):
+                raise ValueError(f"a script can't call {t}")
+        elif out and out[-1] + t in ("--", "/*"):
+            raise ValueError("a script can't have comments")
+        out.append(t)
+    return "".join(out)
+
+
+def _literal(v: Any) -> str:
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, (int, float)):
+        return f"({v!r})"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    raise ValueError("script parameters are numbers, booleans or strings")
+
+
 def condition(spec: dict[str, Any], columns: list[str]) -> Column:
     """A filter tree as a column: collections, metadata {k: v}, date_range / numeric_range [{field, ...}],
     text [{field, op, value}], exists / missing [field], must / should / must_not with
@@ -53,13 +93,7 @@ def condition(spec: dict[str, Any], columns: list[str]) -> Column:
         need = spec.get("minimum_should_match", 0 if spec.get("must") else 1)
         parts.append(n >= need)
     if spec.get("script"):
-        text = spec["script"]["source"]
-        for k, v in sorted(spec["script"].get("params", {}).items(), key=lambda x: -len(x[0])):
-            if not isinstance(v, (int, float, bool, str)):
-                raise ValueError("script parameters are numbers, booleans or strings")
-            quoted = "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else repr(v)
-            text = text.replace(f":{k}", quoted)
-        parts.append(F.expr(text))
+        parts.append(F.expr(script(spec["script"]["source"], spec["script"].get("params", {}))))
     out = F.lit(True)
     for p in parts:
         out = out & F.coalesce(p, F.lit(False))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +27,8 @@ LIKE_MIN, LIKE_CAP = 3, 100
 #: Query rows up to this many are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_ROWS = 100_000
 MAX_QUERY_VECTORS = 10_000
+#: Substrings up to this many are looked for one by one.
+FEW_NEEDLES = 16
 
 
 #: Distinct query terms up to this many are looked up by name; more are joined.
@@ -54,10 +58,12 @@ def bm25(index: TextIndex, queries: DataFrame, operator: str = "or", restrict: D
     if operator not in ("or", "and"):
         raise ValueError(f"unknown operator {operator!r}")
     asked = bm25_terms(queries)
-    rows = asked.limit(MAX_BROADCAST_ROWS + 1).collect()  # fetched once: they are asked for by name below
-    few = len(rows) <= MAX_BROADCAST_ROWS
-    terms = asked.sparkSession.createDataFrame(rows, asked.schema) if few else asked
-    names = sorted({r.term for r in rows}) if few else []
+    # fetched once, since they are asked for by name below; a projection of local rows needs no job
+    rows = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("terms")).limit(MAX_BROADCAST_ROWS + 1).collect()
+    pairs = [(r.query_id, t) for r in rows for t in r.terms]
+    few = len(rows) <= MAX_BROADCAST_ROWS and len(pairs) <= 4 * MAX_BROADCAST_ROWS
+    terms = asked.sparkSession.createDataFrame(pairs, asked.schema) if few else asked
+    names = sorted({t for _, t in pairs}) if few else []
     named = few and len(names) <= MAX_NAMED_TERMS
     pick = (lambda df: index.of(df, names)) if named else (lambda df: df)
     hits = pick(index.postings)
@@ -169,6 +175,18 @@ def like(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
         raise ValueError(f"more than {MAX_BROADCAST_ROWS} queries; ask in blocks")
     rows = asked.collect()  # counted above
     kinds = dict(asked.dtypes)["query_id"], dict(docs.select("rowid").dtypes)["rowid"]
+    if len(rows) <= FEW_NEEDLES:  # a few are looked for one by one, without leaving the JVM
+        needles = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.lit(r.needle).alias("needle")) for r in rows])
+        t, c = F.col("t"), F.col("c")
+        there = lambda n: F.coalesce(F.contains(t, n["needle"]), F.lit(False)) | F.coalesce(F.contains(c, n["needle"]), F.lit(False))
+        # full lower case is quicker than folding A-Z and keeps all that could match
+        low = [F.lower(F.coalesce(x, F.lit(""))) for x in ("title", "content")]
+        may = [F.contains(x, F.lower(F.lit(r.needle))) for r in rows for x in low]
+        d = docs.where(reduce(or_, may, F.lit(False))).select("rowid", ascii_fold(F.col("title")).alias("t"), ascii_fold(F.col("content")).alias("c"))
+        hits = d.select("rowid", "t", "c", F.explode(F.filter(needles, there)).alias("n")).select("rowid", "t", "c", "n.*") if rows else d.select("rowid", "t", "c", F.lit(None).cast(kinds[0]).alias("query_id"), F.lit("").alias("needle")).limit(0)
+        in_title = F.coalesce(F.contains("t", "needle"), F.lit(False))
+        hits = hits.select("query_id", "rowid", F.when(in_title, 1).otherwise(2).alias("cls"), F.coalesce(F.expr("instr(t, needle)"), F.expr("instr(c, needle)")).alias("place"), F.length("c").alias("len"))
+        return _like_ranked(hits, limit)
     shared = docs.sparkSession.sparkContext.broadcast([(r.query_id, r.needle) for r in rows])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +194,10 @@ def like(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
 
     d = docs.select("rowid", ascii_fold(F.col("title")).alias("t"), ascii_fold(F.col("content")).alias("c"))
     hits = d.mapInArrow(task, f"query_id {kinds[0]}, rowid {kinds[1]}, cls int, place int, len int")
+    return _like_ranked(hits, limit)
+
+
+def _like_ranked(hits: DataFrame, limit: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("cls", "place", "len", "rowid")
     return hits.withColumn("like_rank", F.row_number().over(w) - 1).where(F.col("like_rank") < min(2 * limit, LIKE_CAP)).select("query_id", "rowid", "like_rank")
 

@@ -152,6 +152,10 @@ def _extra(manifest: dict) -> dict:
     return {k: v for k, v in manifest.items() if k not in ("schema", "by", "parts", "number")}
 
 
+def _but_number(manifest: dict) -> dict:
+    return {k: v for k, v in manifest.items() if k != "number"}
+
+
 @dataclass
 class Changed:
     """What a statement did: rows modified, and the rows it returns."""
@@ -220,7 +224,7 @@ class Engine:
             raise RuntimeError(f"table {name} was changed by another writer") from e
         numbers = self._numbers(name)
         parts = lambda n: {p["dir"] for p in json.loads(self._read(f"{folder}/{n:012d}.json"))["parts"]}
-        used = set().union(*(parts(n) for n in numbers[-keep:]))
+        used = set().union(*(parts(n) for n in numbers[-keep:]), *({p["dir"] for p in t[name]["parts"]} for t in self._savepoints().values() if name in t))
         for n in numbers[:-keep]:
             for d in parts(n) - used:
                 self.fs.delete(self.fs_path(f"{self.path}/{name}/{d}"), True)
@@ -314,6 +318,67 @@ class Engine:
             self.drop(name)
         self.init_schema()
 
+    # savepoints
+
+    def _savepoints(self) -> dict[str, dict]:
+        return {n[:-5]: json.loads(self._read(f"{self.path}/_savepoints/{n}")) for n in self._names(f"{self.path}/_savepoints") if n.endswith(".json") and not n.startswith(".")}
+
+    def savepoint(self, name: str) -> None:
+        """Remember all tables as they are; their parts stay until the savepoint is released."""
+        state = {t: self._manifest(t) for t in self.tables()}
+        out = self.fs.create(self.fs_path(f"{self.path}/_savepoints/{check_identifier(name)}.json"), True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+
+    def rollback_to(self, name: str) -> None:
+        """All tables as they were; newer tables go. The savepoint stays."""
+        state = self._savepoints().get(name)
+        if state is None:
+            raise ValueError(f"no savepoint {name}")
+        for t in self.tables():
+            if t not in state:
+                self.drop(t)
+        for t, m in state.items():
+            now = self._manifest(t)
+            if now is None or _but_number(now) != _but_number(m):
+                self._publish(t, m, now)
+        if (m := self._manifest("fts_lengths")) is not None:  # it belongs to documents that have a new number now
+            kept = state["fts_lengths"].get("documents") == state["documents"]["number"] if "fts_lengths" in state else False
+            self._publish("fts_lengths", {**m, "documents": self._manifest("documents")["number"] if kept else -1}, m)
+        self._opened = None
+
+    def release(self, name: str) -> None:
+        self.fs.delete(self.fs_path(f"{self.path}/_savepoints/{check_identifier(name)}.json"), False)
+
+    def transaction(self, f: Callable[[Engine], Any]) -> Any:
+        """f's changes all hold, or none if it fails."""
+        name = f"t_{uuid.uuid4().hex}"
+        self.savepoint(name)
+        try:
+            return f(self)
+        except BaseException:
+            self.rollback_to(name)
+            raise
+        finally:
+            self.release(name)
+
+    #: Settings of the session that may be read and set by name.
+    PRAGMAS = {"shuffle_partitions": "spark.sql.shuffle.partitions", "broadcast_threshold": "spark.sql.autoBroadcastJoinThreshold", "adaptive": "spark.sql.adaptive.enabled", "time_zone": "spark.sql.session.timeZone"}
+
+    def pragma(self, name: str, value: Any = None) -> Any:
+        """Read or set a setting; table_info(t), table_list, user_version."""
+        if m := re.fullmatch(r"table_info\((\w+)\)", name):
+            return [(f.name, f.dataType.simpleString(), f.nullable) for f in self.table(m[1]).schema]
+        if name == "table_list":
+            return self.tables()
+        if name == "user_version":
+            return self.schema_version()
+        if name not in self.PRAGMAS:
+            raise ValueError(f"no pragma {name}")
+        if value is not None:
+            self.spark.conf.set(self.PRAGMAS[name], str(value))
+        return self.spark.conf.get(self.PRAGMAS[name])
+
     # SQL
 
     def sql(self, text: str, args: dict[str, Any] | list | None = None) -> DataFrame:
@@ -407,6 +472,16 @@ class Engine:
         self.append(name, df)
         return n
 
+    def insert_batches(self, batches: Iterator[DataFrame], collection: str = "default", now: int = 0, progress: Callable[[int, int], None] | None = None) -> int:
+        """Upsert batch after batch; progress(batches, documents) is told after each. Returns the documents rejected."""
+        documents = rejected = 0
+        for i, df in enumerate(batches, 1):
+            _, bad = self.upsert_documents(df, collection, now)
+            documents, rejected = documents + df.count(), rejected + bad.count()
+            if progress is not None:
+                progress(i, documents)
+        return rejected
+
     # collections and documents
 
     def create_collection(self, name: str, config: dict | None = None, provider: str | None = None, dimensions: int = 384, now: int = 0) -> None:

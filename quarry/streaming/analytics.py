@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..workspace import fresh_path
+
 WATERMARK = "10 minutes"
 
 
@@ -68,6 +70,20 @@ def experiments(log: DataFrame) -> DataFrame:
     return x.groupBy("experiment_id", "variant", "metric").agg(F.sum("v").alias("total"), F.approx_count_distinct("session_id").alias("participants"))
 
 
+def participants(log: DataFrame, late: str = WATERMARK) -> DataFrame:
+    """Exact numbers of sessions by experiment and variant: a session counts when it first appears. Its state is a row
+    for each session, kept by key over all tasks."""
+    x = log.where("event_type = 'experiment'").withWatermark("ts", late).dropDuplicates(["experiment_id", "variant", "session_id"])
+    return x.groupBy("experiment_id", "variant").agg(F.count("session_id").alias("participants"))
+
+
+def profiles(log: DataFrame) -> DataFrame:
+    """Running word preferences of each session: 0.1 a use of a word of more than three letters, at most 1."""
+    words = F.filter(F.split(F.lower("query"), r"\s+"), lambda w: F.length(w) > 3)
+    each = log.where("event_type = 'query'").select("session_id", F.explode(words).alias("preference"))
+    return each.groupBy("session_id", "preference").agg(F.least(F.lit(1.0), F.round(0.1 * F.count(F.lit(1)), 10)).alias("weight"))
+
+
 def alerts(log: DataFrame, slow_ms: float = 1000.0) -> DataFrame:
     """Slow queries and errors as they come."""
     slow = (F.col("event_type") == "performance") & (F.col("search_time") > slow_ms)
@@ -105,17 +121,26 @@ def process_queue(items: DataFrame, handle: Callable[[DataFrame], None], checkpo
 
 def run_once(spark: SparkSession, sf_dir: str, f: Callable[[DataFrame], DataFrame], mode: str = "append", table: str = "events") -> DataFrame:
     """f over a stream of a table's file, run to its end; the result as a batch DataFrame."""
-    import uuid
-
     path = f"{sf_dir}/{table}.parquet"
     schema = spark.read.parquet(path).schema
     # a file source wants a folder; a pattern serves for a file and for a folder of parts alike
-    name = f"out_{uuid.uuid4().hex}"
+    name = fresh_path(spark, "stream")
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
     stream = source.parquet(path if _is_folder(spark, path) else f"{sf_dir}/{table}.parque[t]")
-    q = f(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    # batches go to Parquet, not to the driver: in complete mode the last is the result, else all together
+    out = f(stream)
+    done: list[int] = []
+
+    def write(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{name}/batch={n}")
+        done.append(n)
+
+    q = out.writeStream.foreachBatch(write).option("checkpointLocation", f"{name}-state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    if not done:
+        return spark.createDataFrame([], out.schema)
+    chosen = done[-1:] if mode == "complete" else done
+    return spark.read.schema(out.schema).parquet(*[f"{name}/batch={n}" for n in chosen]).select(*out.columns)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

@@ -334,3 +334,141 @@ def test_entry_without_the_training_operators(tmp_path):
         got = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "r", env=env, capture_output=True, text=True)
         assert got.stdout.split() == ["True", "True", "False"], got.stderr
         (tmp_path / "r" / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
+def test_savepoints_and_transactions(engine, spark):
+    one = spark.createDataFrame([("1", "T", "apples")], "id string, title string, content string")
+    engine.upsert_documents(one)
+    engine.index()
+    engine.savepoint("a")
+    for i in range(4):  # more versions than are kept otherwise
+        engine.upsert_documents(one.withColumns({"id": F.lit(str(i)), "content": F.lit(f"pears {i}")}))
+    engine.write("extra", one)
+    engine.rollback_to("a")
+    assert [r.content for r in engine.table("documents").collect()] == ["apples"] and "extra" not in engine.tables()
+    assert engine._index_is_current() and engine.search("apples").hits.count() == 1 and engine.search("pears").hits.count() == 0
+    engine.release("a")
+    with pytest.raises(ValueError):
+        engine.rollback_to("a")
+
+    def fails(e):
+        e.upsert_documents(one.withColumn("id", F.lit("9")))
+        raise RuntimeError("stop")
+
+    with pytest.raises(RuntimeError):
+        engine.transaction(fails)
+    assert engine.table("documents").count() == 1
+    engine.transaction(lambda e: e.upsert_documents(one.withColumn("id", F.lit("9"))))
+    told = []
+    assert engine.insert_batches(iter([one.withColumn("id", F.lit(x)) for x in "xy"] + [one.withColumn("id", F.lit(" "))]), progress=lambda *a: told.append(a)) == 1
+    assert engine.table("documents").count() == 4 and told == [(1, 1), (2, 2), (3, 3)]
+    assert ("id", "string", True) in engine.pragma("table_info(documents)") and "documents" in engine.pragma("table_list")
+    with pytest.raises(ValueError):
+        engine.pragma("journal_mode")
+
+
+def test_guards_and_errors():
+    from quarry.functions import guards
+
+    good = {"open": {"filename": "x"}, "execute": {"sql": "select ?", "params": [1, None, b"x", [1.0]]}, "bulk_insert": {"table": "t", "rows": [{}]}, "search": {"vector": [0.5]}, "create_collection": {"name": "c", "dimensions": 3}}
+    assert all(guards.check(k, v) is v for k, v in good.items())
+    for k, v in {"open": {}, "execute": {"sql": 1}, "bulk_insert": {"table": "t", "rows": [1]}, "search": {"limit": 3}, "enqueue": {"collection": "c"}, "select": [], "clear_queue": {"status": 1}}.items():
+        with pytest.raises(ValueError):
+            guards.check(k, v)
+    assert guards.is_identifier("a_1") and not guards.is_identifier("1a") and not guards.is_json(float("nan")) and not guards.is_document_id(" ") and not guards.is_number(True)
+    kinds = [guards.classify(e) for e in (TimeoutError("x"), RuntimeError("table t was changed by another writer"), ValueError("bad limit"), MemoryError("out of memory"), RuntimeError("odd"))]
+    assert [(k.severity, k.recoverable) for k in kinds] == [("medium", True), ("medium", True), ("low", False), ("critical", False), ("medium", False)]
+
+
+def test_providers_and_settings(spark):
+    from quarry.functions import settings
+
+    calls, naps = [], []
+
+    def client(texts):
+        calls.append(len(texts))
+        if len(calls) == 1:
+            raise ConnectionError("reset")
+        return [[1.0, 2.0] for _ in texts]
+
+    p = vectors.RemoteProvider(client, 2, retries=1, per_second=1e9, sleep=naps.append)
+    assert p.embed(["a", "b"]) == [[1.0, 2.0]] * 2 and naps == [1.0] and (p.metrics["embeddings"], p.metrics["errors"]) == (2, 1)
+    slow = vectors.RemoteProvider(lambda t: __import__("time").sleep(0.5), 2, timeout=0.05, retries=0, fallback=vectors.HashProvider(2))
+    assert len(slow.embed(["x"])[0]) == 2 and slow.metrics["fallbacks"] == 1
+    with pytest.raises(ValueError):
+        vectors.RemoteProvider(lambda t: [[1.0]], 2, retries=0).embed(["x"])
+    now = [0.0]
+    r = vectors.Registry(10, lambda: now[0])
+    r.register("h", lambda: vectors.HashProvider(4), preload=True)
+    assert r.get("h").dimensions == 4 and r.most_used() == ["h"]
+    now[0] = 11
+    assert r.evict() == ["h"] and r.most_used() == []
+    c = settings.collection_config("remote", 64, preprocessing={"lower_case": True}, tags=["a"])
+    assert c["preprocessing"]["lower_case"] and c["preprocessing"]["strip_html"] and c["batch_size"] == 100 and settings.vector_table_name("c", 64) == "vec_c_64d"
+    assert settings.merge_configs({"a": {"b": [1, 2]}, "c": 1}, {"a": {"b": [3]}, "c": None}) == {"a": {"b": [3]}, "c": 1}
+    one = spark.range(1).select(vectors.random_embedding(F.lit(7), 50).alias("v"), text.djb_hash(F.lit("Привет, a longer text")).alias("h"), text.zero_blob(F.lit(3)).alias("z"), text.random_blob(F.lit(40), F.lit(5)).alias("b"), text.safe_json(F.lit("{x"), "a int", F.struct(F.lit(9).alias("a"))).alias("j")).first()
+    assert all(-1 <= x < 1 for x in one.v) and len(set(one.v)) == 50 and bytes(one.z) == b"\0\0\0" and len(one.b) == 40 and one.j.a == 9
+    h = 5381
+    for ch in "Привет, a longer text":
+        h = ((((h + 2**31) % 2**32 - 2**31) * 32 + 2**31) % 2**32 - 2**31) + h + ord(ch)
+    assert one.h == format(abs(h), "x")
+
+
+def test_hash_embedding_values(spark):
+    """Each token adds its sign to its slot; then length 1."""
+    words = "the quick brown fox the end".split()
+    slots = spark.createDataFrame([(w,) for w in words], "t string").select(F.pmod(F.xxhash64("t"), F.lit(8)).alias("i"), F.pmod(F.xxhash64("t", F.lit(1)), F.lit(2)).alias("s")).collect()
+    want = [0.0] * 8
+    for r in slots:
+        want[r.i] += 1.0 if r.s == 0 else -1.0
+    norm = sum(x * x for x in want) ** 0.5
+    got = spark.createDataFrame([("The quick, brown fox. THE end",)], "s string").select(vectors.hash_embedding(F.col("s"), 8).alias("v")).first().v
+    assert got == pytest.approx([x / norm for x in want], abs=1e-6)
+
+
+def test_level_cache(spark, tmp_path):
+    now = [0.0]
+    make = lambda: cache.LevelCache(spark, str(tmp_path / "c"), lambda: now[0])
+    a = make()
+    a.set("k", {"x": 1})
+    assert a.get("k") == {"x": 1} and a.flush() == 1
+    now[0] = 1000  # the first level has forgotten, the second moves it up
+    assert a.get("k") == {"x": 1} and a.found == [1, 1, 0] and a.levels[0].get("k") == {"x": 1}
+    b = make()
+    assert b.get("k") == {"x": 1} and b.found == [0, 0, 1] and b.get("none") is None and b.stats()["hit_rate"] == 0.5
+    now[0] = 700_000
+    assert make().get("k") is None
+
+
+def test_histories_and_counters(spark):
+    rows = [(i // 100, i, f"q{i}", float(i)) for i in range(230)]
+    df = spark.createDataFrame(rows, "user_id long, ts long, query_id string, score double").withColumn("id", F.col("ts"))
+    assert analytics.latest(df, "context", ["user_id"]).groupBy("user_id").count().where("count != 10").isEmpty() and analytics.latest(df, "optimizer").agg(F.min("ts")).first()[0] == 130
+    assert analytics.top_scores(df.withColumn("query_id", F.lit("q")), 3).first().scores == [229.0, 228.0, 227.0]
+    assert spark.range(1).select(analytics.ordered_union(F.array(F.lit("b"), F.lit("a")), F.array(F.lit("a"), F.lit("c")), most=2).alias("x")).first().x == ["b", "a"]
+    # errors by minute, one forgotten a minute: against the plain loop
+    errors = {0: 3, 1: 1, 5: 2, 6: 4, 20: 1, 22: 2}
+    log = [("error", 60 * m + i) for m, n in errors.items() for i in range(n)] + [("query", 60 * 24 + 5), ("query", 60 * 23)]
+    e = spark.createDataFrame(log, "event_type string, t long").select("event_type", F.timestamp_seconds("t").alias("ts"), F.lit(1.0).alias("search_time"))
+    count = 0
+    for m in range(24):
+        count = max(0, count + errors.get(m, 0) - 1)
+    got = analytics.realtime(e, "1970-01-01 00:24:30").first()
+    assert (got.recent_errors, got.last_queries) == (count, 1)
+
+
+def test_scripts_are_restricted():
+    from quarry.operators import filters
+
+    assert filters.script("lower(title) = :t AND score >= :s", {"t": "it's", "s": -1}) == "lower(title) = 'it\\'s' AND score >= (-1)"
+    for bad in ("reflect('java.lang.System', 'exit', 1)", "java_method('a', 'b')", "id IN (SELECT 1)", "1 = 1; drop table x", "a -- b", "x /* */", "title = :missing"):
+        with pytest.raises(ValueError):
+            filters.script(bad, {})
+
+
+def test_stream_participants_are_exact(spark, sf_dir):
+    got = S.run_once(spark, sf_dir, lambda df: S.participants(E.to_log(df)), "complete")
+    want = E.log(spark, sf_dir).where("event_type = 'experiment'").groupBy("experiment_id", "variant").agg(F.count_distinct("session_id").alias("participants"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    prefs = S.run_once(spark, sf_dir, lambda df: S.profiles(E.to_log(df)), "complete")
+    assert prefs.where("preference = 'query'").count() > 0 and prefs.where("weight > 1").count() == 0

@@ -69,6 +69,42 @@ def test_like_is_literal(spark, docs, text, want):
     assert ids(search.like(docs, q)) == want
 
 
+def test_like_by_one_and_by_many(spark, docs, monkeypatch):
+    """One by one and by the automaton, the same; nulls and empty texts match nothing."""
+    more = docs.unionByName(spark.createDataFrame([(9, None, None, "d", None), (10, "", "machine machine", "d", None)], docs.schema))
+    q = spark.createDataFrame([(1, "machine"), (2, "machine"), (3, "MACH"), (4, "search"), (5, "ине"), (6, "100% e")], "query_id long, text string")
+    one = sorted(map(str, search.like(more, q).collect()))
+    monkeypatch.setattr(search, "FEW_NEEDLES", 0)
+    assert one == sorted(map(str, search.like(more, q).collect())) and len(one) > 10
+    assert search.like(more, q.limit(0)).count() == 0
+
+
+def test_bucket_on_the_driver(spark):
+    words = ["", "a", "машина", "découverte", "x" * 100, "🙂"]
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    assert [r.b for r in df.select(index.bucket(F.col("t"), 16).alias("b")).collect()] == [index.bucket_of(w, 16) for w in words]
+
+
+def test_knn_blocks_against_all_pairs(spark, monkeypatch):
+    """Many items with ties, in small blocks, for each metric."""
+    import numpy as np
+
+    from quarry.functions import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    r = np.random.Generator(np.random.PCG64(4))
+    x = np.round(r.normal(size=(150, 5)), 1)
+    x[100:140] = x[:40]
+    items = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "rowid long, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([(i, [float(y) for y in x[i]]) for i in range(0, 30, 3)], "query_id long, vector array<double>")
+    x = x.astype(np.float32).astype(np.float64)
+    for metric, f in (("l2", lambda a, b: np.sqrt(((a - b) ** 2).sum())), ("l1", lambda a, b: np.abs(a - b).sum()), ("dot", lambda a, b: -(a * b).sum())):
+        got = {(z.query_id, z.rowid) for z in search.knn(items, q, 6, metric).collect()}
+        asked = {z.query_id: np.array(z.vector) for z in q.collect()}
+        want = {(i, j) for i, v in asked.items() for _, j in sorted((round(float(f(x[j], v)), 9) + 0.0, j) for j in range(len(x)))[:6]}
+        assert got == want
+
+
 def test_like_order(spark, docs):
     q = spark.createDataFrame([(1, "machine")], "query_id long, text string")
     assert [r.rowid for r in search.like(docs, q).orderBy("like_rank").collect()] == [1, 4, 5]
