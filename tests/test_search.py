@@ -189,6 +189,27 @@ def test_greedy_is_the_plain_algorithm():
     assert rerank.greedy([], [], 0.7, 0.3) == []
 
 
+@pytest.mark.parametrize(("name", "alpha", "beta"), [("mmr", 0.7, 0.3), ("mmd", 0.6, 0.4)])
+def test_registered_diversification_is_the_plain_algorithm(spark, sf_dir, name, alpha, beta):
+    """The whole documents table, each source's full list."""
+    import re
+
+    from quarry.plans import retrieval
+
+    by = {}
+    for r in retrieval.result_rows(spark, sf_dir).collect():
+        by.setdefault(r.query_id, []).append(r)
+    got = {}
+    for r in retrieval.QUERIES[name][0](spark, sf_dir).collect():
+        got.setdefault(r.query_id, {})[r.position] = r.id
+    assert got.keys() == by.keys()
+    for q, rows in by.items():
+        rows = sorted(rows, key=lambda r: (-r.score, r.id))[:100]
+        sets = [set(re.split(r"\s+", f"{r.title or ''} {r.content or ''}".lower())) for r in rows]
+        order = brute_greedy([r.score for r in rows], sets, alpha, beta)
+        assert [got[q][i + 1] for i in range(len(rows))] == [rows[i].id for i in order]
+
+
 def test_snippets():
     text = " ".join(f"w{i}" for i in range(40)) + " target " + " ".join(f"x{i}" for i in range(40))
     s = results.py_snippets(text, "target")
