@@ -62,6 +62,22 @@ def test_spans_are_the_best_path(spark):
     assert [x for x, _, _ in model.label(texts)[0][4]] == ["aa", "bb"]
 
 
+def test_registered_languages_against_the_full_viterbi_pass(spark, sf_dir):
+    """The whole documents table, text by text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in Q.op2_language_id(spark, sf_dir).collect():
+        bucket, starts, scripts, letters, *_ = langid._words([text[r.doc_id] or ""])
+        if not len(starts):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        path = np.array(plain_viterbi(model.word_scores(bucket, starts, scripts, letters).tolist(), model.penalty))
+        share = np.bincount(path, weights=letters, minlength=len(model.langs)) / letters.sum()
+        assert r.lang_pred == model.langs[int(share.argmax())] and r.share == pytest.approx(share.max()) and 0 <= r.score <= r.share
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
 def test_scripts_narrow_the_candidates():
     """A language that doesn't use a word's script isn't scored, and never wins the word."""
     counts = np.zeros((3, langid.BUCKETS + langid.N_SCRIPTS), np.int64)
@@ -295,6 +311,20 @@ def test_forest_removes_false_positives(spark, sf_dir):
     assert sum(r.y == r.p for r in got) >= 0.95 * len(got)
 
 
+def test_registered_scan_finds_every_candidate(spark, sf_dir):
+    """The whole documents table against the same pattern in another engine, one text at a time."""
+    import regex
+
+    want = set()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        for k, m in enumerate(regex.finditer(secrets.CANDIDATE, r.text or "")):
+            v = regex.match(secrets.VALUE, m[0])
+            want.add((r.doc_id, k, v[1] if v else m[0]))
+    got = Q.op5_secret_scan(spark, sf_dir).collect()
+    assert len(got) == len(want) > 5 and {(r.doc_id, r.k, r.value) for r in got} == want
+    assert all(r.is_secret == (r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
+
+
 def test_compiled_forest_is_the_models_own(spark):
     """The SQL form against Spark ML's probabilities."""
     known = ["tion", "page", "index"]
