@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import EmbeddingProvider, embed
+from ..workspace import fresh_path
 
 SCHEMA = """id string, collection_name string, document_id string, text_content string, priority int, status string, retry_count int,
  created_at long, started_at long, completed_at long, processed_at long, error_message string"""
@@ -71,7 +72,9 @@ def process(queue: DataFrame, docs: DataFrame, provider: EmbeddingProvider, now:
     done = made.join(places, ["collection_name", "document_id"], "left").select(
         "id", "rowid", "embedding", F.when(F.col("rowid").isNull(), "document not found").when(F.col("embedding").isNull(), "embedding failed").alias("why")
     )
-    done = done.persist()
+    path = fresh_path(queue.sparkSession, "embedded")  # written once: the provider isn't asked again
+    done.write.parquet(path)
+    done = queue.sparkSession.read.schema(done.schema).parquet(path)
     ok = F.col("why").isNull()
     rows = queue.join(F.broadcast(done.select("id", "why", F.lit(True).alias("taken"))), "id", "left")  # at most batch rows
     taken_ = F.coalesce("taken", F.lit(False))

@@ -115,10 +115,13 @@ def personalize(df: DataFrame, clicks: DataFrame | None = None, session: DataFra
     df = df.withColumn("__w", F.array_distinct(words(text)))
     parts = F.lit(0.0)
     if clicks is not None:
-        got = clicks.groupBy("user_id").agg(F.collect_list(F.array_distinct(words(F.col("query")))).alias("__clicks"))
-        df = df.join(got, "user_id", "left")
-        near = F.filter("__clicks", lambda c: F.size(F.array_intersect(c, F.col("__w"))) / F.greatest(F.size(c), F.lit(1)) > 0.3)
-        parts = parts + F.when(F.size("__clicks") > 0, F.size(near) / F.size("__clicks")).otherwise(F.lit(0.0)) * click_weight
+        # clicks of equal words are one row with a count; results and clicks meet by user, and only sums stay
+        asked = clicks.groupBy("user_id", F.array_sort(F.array_distinct(words(F.col("query")))).alias("__c")).agg(F.count(F.lit(1)).alias("__m"))
+        met = df.select("query_id", "id", "user_id", "__w").join(asked, "user_id")
+        near = F.size(F.array_intersect("__c", "__w")) / F.greatest(F.size("__c"), F.lit(1)) > 0.3
+        share = met.groupBy("query_id", "id").agg((F.sum(F.when(near, F.col("__m")).otherwise(0)) / F.sum("__m")).alias("__share"))
+        df = df.join(share, ["query_id", "id"], "left")
+        parts = parts + F.coalesce("__share", F.lit(0.0)) * click_weight
     if session is not None:
         last = F.slice(F.sort_array(F.collect_list(F.struct("ts", F.array_distinct(words(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit(""))))).alias("w"))), asc=False), 1, 5)
         df = df.join(session.groupBy("user_id").agg(last.alias("__session")), "user_id", "left")
@@ -134,7 +137,7 @@ def personalize(df: DataFrame, clicks: DataFrame | None = None, session: DataFra
         idle = F.coalesce("__idle", F.lit(0.0))
     p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), parts * F.pow(F.lit(decay), idle)))
     df = df.withColumn("personal_score", p).withColumn("final_score", F.col("score") * (1 + weight * F.col("personal_score")))
-    return with_ranks(df).drop("__w", "__clicks", "__session", "__profile", "__idle")
+    return with_ranks(df).drop("__w", "__share", "__session", "__profile", "__idle")
 
 
 def profile_update(queries: DataFrame) -> DataFrame:

@@ -236,9 +236,10 @@ def preference_update(interactions: DataFrame) -> DataFrame:
 
 def adaptive_filter(df: DataFrame, preferences: DataFrame, most: int = 20) -> DataFrame:
     """Results over the user's threshold; users who prefer diversity (over 0.5) with more than five results get
-    only those unlike what they already have. Greedy, so one query at a time (at most 100 rows each)."""
+    only those unlike what they already have. Greedy, so one query at a time, of its first 100 results."""
     df = df.join(preferences, "user_id", "left").withColumn("quality_threshold", F.coalesce("quality_threshold", F.lit(0.1))).withColumn("diversity_preference", F.coalesce("diversity_preference", F.lit(0.3)))
     df = df.where(F.col("score") >= F.col("quality_threshold"))
+    df = df.withColumn("__n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id"))).where(F.col("__n") <= 100).drop("__n")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank", "id"])
