@@ -280,7 +280,7 @@ def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return docs.select("doc_id", held_out().alias("held_out"), identify(F.col("text"), model, docs.sparkSession).alias("r")).select("doc_id", "held_out", "r.*")
 
 
-def keep_identified(docs: DataFrame, min_share: float = 0.2, min_fit: float = -1.0, model: Model | None = None) -> DataFrame:
+def keep_identified(docs: DataFrame, min_share: float = 0.2, min_fit: float = -1.5, model: Model | None = None) -> DataFrame:
     """docs without those whose language is und, whose leading language holds less than min_share of the letters, or
     whose fit is less than min_fit: letters in no learned language's order."""
     model = model or train(docs.where(~held_out() & F.col("doc_id").isNotNull()))
