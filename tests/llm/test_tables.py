@@ -102,16 +102,16 @@ def plain_mix(sized, block_words, n_shards, seed=mixing.SEED):
     return out
 
 
-@pytest.mark.parametrize("seed", [mixing.SEED, 3])
-def test_mix_against_plain_loops(spark, sf_dir, seed):
-    """The whole documents table, in blocks small enough for many cuts."""
+@pytest.mark.parametrize(("seed", "words", "shards"), [(mixing.SEED, 2000, 4), (3, 2000, 4), (mixing.SEED, 10**6, 16)])
+def test_mix_against_plain_loops(spark, sf_dir, seed, words, shards):
+    """The whole documents table, in blocks small enough for many cuts, and the registered query."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = mixing.mix(docs, block_words=2000, n_shards=4, seed=seed).collect()
-    most = max(r.source_size for r in got) // 2000 + 1
+    got = (Q.op3_mix_sources(spark, sf_dir) if words == 10**6 else mixing.mix(docs, block_words=words, n_shards=shards, seed=seed)).collect()
+    most = max(r.source_size for r in got) // words + 1
     key = F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source"))
     order = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(most)), lambda b: F.xxhash64(key, b, F.lit(seed)))
     sized = docs.select("doc_id", "source", F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("size"), mixing._unit(F.col("doc_id"), F.col("text"), F.lit(seed)).alias("u"), order.alias("order")).collect()
-    assert collections.Counter((r.doc_id, r.size, r.taken) for r in got) == plain_mix(sized, 2000, 4, seed)
+    assert collections.Counter((r.doc_id, r.size, r.taken) for r in got) == plain_mix(sized, words, shards, seed)
 
 
 def test_tree_decides_what_is_taken(spark, sf_dir, monkeypatch):
