@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import let
+
 # Word lists (fixed values).
 QUESTION = "что как где когда почему кто какой which what how where when why who".split()
 BOOLEAN = "and or not".split()
@@ -27,6 +30,7 @@ TIMES = {
     "future": ["will", "shall", "going to", "tomorrow", "next", "future", "plan", "predict"],
     "present": ["is", "are", "now", "currently", "today", "present"],
 }
+FIND, VERIFY, COMPARE, URGENT = "find show list display", "check verify confirm validate", "compare vs difference", "urgent quickly asap immediately now"
 SYNONYMS = {
     "find": ["search", "locate", "discover"], "good": ["excellent", "great", "wonderful"],
     "bad": ["poor", "terrible", "awful"], "показать": ["отобразить", "вывести", "представить"],
@@ -47,10 +51,29 @@ class Context:
     historical_accuracy: float = 0.0
 
 
-def any_word(c: Column, words: list[str] | str) -> Column:
-    """Does the text have one of the words, as whole ASCII words, in any case?"""
+def any_word(c: Column, words: list[str] | str, found: Column | None = None) -> Column:
+    """Does the text have one of the words (or phrases), as whole ASCII words, in any case? found: the text's
+    ascii_words, among these at least; then the text is read for phrases only whose words are all there."""
     words = words.split() if isinstance(words, str) else words
-    return c.rlike(f"(?i){LEFT}(?:{'|'.join(words)}){RIGHT}")
+    if found is None:
+        return c.rlike(f"(?i){LEFT}(?:{'|'.join(words)}){RIGHT}")
+    out = F.arrays_overlap(found, F.array(*[F.lit(w) for w in words if w in _parts([w])]))
+    for phrase in (w for w in words if w not in _parts([w])):
+        there = F.size(F.array_intersect(found, F.array(*[F.lit(w) for w in _parts([phrase])]))) == len(_parts([phrase]))
+        out = out | (there & any_word(c, [phrase]))
+    return out
+
+
+def _parts(words: list[str]) -> list[str]:
+    """The distinct ASCII words in words and phrases."""
+    return list(dict.fromkeys(x for w in words for x in re.findall("[a-z0-9_]+", w)))
+
+
+def ascii_words(c: Column, among: list[str]) -> Column:
+    """The distinct ASCII words of a text, in lower case, that the words and phrases are made of: one pass over the
+    text serves any number of any_word."""
+    own = F.transform(F.array_distinct(F.split(c, "[^A-Za-z0-9_]+")), F.lower)
+    return F.array_intersect(own, F.array(*[F.lit(w) for w in _parts(among)]))
 
 
 def normalize_plan(q: Column, unicode: bool = False) -> Column:
@@ -66,7 +89,10 @@ def normalize_analyzer(q: Column, unicode: bool = False) -> Column:
 
 def query_features(q: Column, analyzer: bool = False) -> Column:
     """struct of ten features of a normalised query."""
-    ws = F.split(q, r"\s+")
+    return let(F.split(q, r"\s+"), lambda ws: _features(q, ws, analyzer))
+
+
+def _features(q: Column, ws: Column, analyzer: bool) -> Column:
     n = F.size(ws)
     question = q.rlike(f"(?i)^(?:{'|'.join(QUESTION)}){RIGHT}")
     boolean = any_word(q, BOOLEAN)
@@ -75,8 +101,8 @@ def query_features(q: Column, analyzer: bool = False) -> Column:
     return F.struct(
         n.alias("word_count"), question.alias("has_question_words"), boolean.alias("has_boolean_operators"), q.rlike("[*?]").alias("has_wildcards"), q.rlike('"[^"]*"').alias("has_quotes"),
         q.rlike("[0-9]").alias("has_numbers"), q.rlike(r"[!@#$%^&*()_+=\[\]{}|\\:\";'<>?,./]").alias("has_special_characters"),
-        (F.aggregate(ws, F.lit(0), lambda a, w: a + F.length(w)) / n).alias("average_word_length"),
-        F.arrays_overlap(F.transform(ws, F.lower), stop).alias("contains_stop_words"), intent.alias("estimated_intent"),
+        (F.length(F.array_join(ws, "")) / n).alias("average_word_length"),
+        F.arrays_overlap(F.split(F.lower(q), r"\s+"), stop).alias("contains_stop_words"), intent.alias("estimated_intent"),
     )
 
 
@@ -159,20 +185,25 @@ def complexity(f: Column, ctx: Context, analyzer: bool = False, intent: Column |
 
 def intent(q: Column, f: Column) -> Column:
     """struct<primary, confidence, secondary, urgency, specificity, domain, temporality>."""
+    known = [*" ".join((FIND, VERIFY, COMPARE, URGENT, *DOMAINS.values())).split(), *(w for ws in TIMES.values() for w in ws)]
+    return let(ascii_words(q, known), lambda found: _intent(q, f, found))
+
+
+def _intent(q: Column, f: Column, words: Column) -> Column:
     compare = f["estimated_intent"] == "compare"
-    find, verify = any_word(q, "find show list display"), any_word(q, "check verify confirm validate")
+    find, verify = any_word(q, FIND, words), any_word(q, VERIFY, words)
     question, filt = f["has_question_words"], f["has_boolean_operators"] | f["has_numbers"]
     nav = (f["word_count"] == 1) & ~f["has_special_characters"]
     primary = F.when(question, "search").when(filt, "filter").when(nav, "navigate").when(compare, "compare").when(find, "discover").when(verify, "verify").otherwise("search")
     sure = F.when(question, 0.8).when(filt | nav | find | verify, 0.7).otherwise(0.5)
-    secondary = _present((question & any_word(q, "compare vs difference"), "compare"), (find & (primary != "discover"), "discover"), (verify & (primary != "verify"), "verify"), most=3)
-    urgency = F.when(any_word(q, "urgent quickly asap immediately now"), "high").when(q.rlike("(?i)when possible|eventually|sometime"), "low").otherwise("medium")
+    secondary = _present((question & any_word(q, COMPARE, words), "compare"), (find & (primary != "discover"), "discover"), (verify & (primary != "verify"), "verify"), most=3)
+    urgency = F.when(any_word(q, URGENT, words), "high").when(q.rlike("(?i)when possible|eventually|sometime"), "low").otherwise("medium")
     specificity = F.when((f["word_count"] <= 2) & ~f["has_quotes"], "broad").when(f["has_quotes"] | f["has_numbers"], "precise").otherwise("specific")
 
     def first(table: dict[str, str | list[str]], default: str) -> Column:
         out = F.lit(default)
         for name, ws in reversed(table.items()):
-            out = F.when(any_word(q, ws), name).otherwise(out)
+            out = F.when(any_word(q, ws.split() if isinstance(ws, str) else ws, words), name).otherwise(out)
         return out
 
     return F.struct(primary.alias("primary"), F.least(F.lit(1.0), F.greatest(F.lit(0.1), sure)).alias("confidence"), secondary.alias("secondary"), urgency.alias("urgency"), specificity.alias("specificity"), first(DOMAINS, "general").alias("domain"), first(TIMES, "timeless").alias("temporality"))
@@ -183,10 +214,14 @@ def expansion(q: Column, concepts: Column | None = None) -> Column:
     best one (0.1 each), and new words of over three letters of related queries (concepts, an array<string>, such as
     related_queries gives) are concepts (0.05 each, at most 3). The expanded query gets two of the first and one of
     the second."""
-    ws = F.split(F.lower(q), r"\s+")
-    none = F.expr("cast(array() as array<string>)")
     syn = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))])
-    known = F.filter(ws, lambda w: F.try_element_at(syn, w).isNotNull())
+    heads = F.array(*[F.lit(k) for k in SYNONYMS])
+    known = lambda ws: F.when(~F.arrays_overlap(ws, heads), F.expr("cast(array() as array<string>)")).otherwise(F.filter(ws, lambda w: F.array_contains(heads, w)))
+    return let(F.split(F.lower(q), r"\s+"), lambda ws: let(known(ws), lambda k: _expansion(ws, k, syn, concepts)))
+
+
+def _expansion(ws: Column, known: Column, syn: Column, concepts: Column | None) -> Column:
+    none = F.expr("cast(array() as array<string>)")
     added = F.transform(known, lambda w: F.element_at(F.try_element_at(syn, w), 1))
     past = none if concepts is None else F.flatten(F.transform(F.coalesce(concepts, F.array()), lambda c: F.split(F.lower(c), r"\s+")))
     new = F.slice(F.filter(past, lambda w: ~F.array_contains(ws, w) & ~F.array_contains(added, w) & (F.length(w) > 3)), 1, 3)
@@ -199,37 +234,62 @@ def expansion(q: Column, concepts: Column | None = None) -> Column:
 ENTITIES = {"DATE": r"\b\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b", "NUMBER": r"\b\d+(?:\.\d+)?\b", "PERSON": r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", "ORGANIZATION": r"\b[A-Z]{2,}\b"}
 
 
+#: Numbers that are summed as one where sums of all before a place are asked for.
+BLOCK = 128
+
+
 def entities(q: Column) -> Column:
     """array<struct<text, type, start, end>>; starts come from what precedes each match."""
-    out = []
-    for kind, p in ENTITIES.items():
-        found = F.regexp_extract_all(q, F.lit(p), F.lit(0))
-        between = F.split(q, p, -1)
-        out.append(F.transform(found, _entity(kind, between, found)))
-    return F.concat(*out)
+    placed = lambda kind, p: let(F.regexp_extract_all(q, F.lit(p), F.lit(0)), lambda found: _placed(q, kind, p, found))
+    return F.concat(*[placed(kind, p) for kind, p in ENTITIES.items()])
+
+
+def count_entities(q: Column) -> Column:
+    """The size of entities, without the places."""
+    return sum((F.size(F.regexp_extract_all(q, F.lit(p), F.lit(0))) for p in ENTITIES.values()), F.lit(0))
 
 
-def _entity(kind: str, between: Column, found: Column):
-    size = lambda xs: F.aggregate(xs, F.lit(0), lambda a, s: a + F.length(s))
+def _placed(q: Column, kind: str, p: str, found: Column) -> Column:
+    """The matches of a kind with their places. A text without any is not split."""
+    none = F.expr("cast(array() as array<struct<text: string, type: string, start: int, end: int>>)")
+    gaps = F.transform(F.split(q, p, -1), lambda s: F.length(s))
+    steps = lambda g: F.transform(found, lambda m, i: F.get(g, i) + F.length(m))
+    blocks = lambda xs: F.transform(F.sequence(F.lit(0), (F.size(xs) / BLOCK).cast("int")), lambda b: _total(F.slice(xs, b * BLOCK + 1, F.lit(BLOCK))))
 
-    def one(m: Column, i: Column) -> Column:
-        start = size(F.slice(between, F.lit(1), i + 1)) + size(F.slice(found, F.lit(1), i))
-        return F.struct(m.alias("text"), F.lit(kind).alias("type"), start.alias("start"), (start + F.length(m)).alias("end"))
+    def one(g: Column, xs: Column, sums: Column):
+        def at(m: Column, i: Column) -> Column:
+            b = (i / BLOCK).cast("int")
+            start = _total(F.slice(sums, F.lit(1), b)) + _total(F.slice(xs, b * BLOCK + 1, i - b * BLOCK)) + F.get(g, i)
+            return let(start, lambda s: F.struct(m.alias("text"), F.lit(kind).alias("type"), s.alias("start"), (s + F.length(m)).alias("end")))
 
-    return one
+        return at
+
+    placed = let(gaps, lambda g: let(steps(g), lambda xs: let(blocks(xs), lambda sums: F.transform(found, one(g, xs, sums)))))
+    return F.when(F.size(found) == 0, none).otherwise(placed)
+
+
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
 
 
 def keywords(q: Column, idf: dict[str, float] | None = None, most: int = 10) -> Column:
     """array<struct<weight, word, pos>>: tf * idf, a fifth more for a word that starts the query; words of over two
-    letters, heaviest first."""
-    low = F.lower(q)
-    ws = F.filter(F.split(low, r"\s+"), lambda w: F.length(w) > 2)
+    letters, heaviest first. Words are counted as runs of the sorted words."""
     table = {**SEED_IDF, **(idf or {})}
     m = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(float(v)))])
-    tf = lambda w: F.size(F.filter(F.split(low, r"\s+"), lambda x: x == w)) / F.size(F.split(low, r"\s+"))
     pos = lambda w: F.when(w.endswith("ing"), "VBG").when(w.endswith("ed"), "VBD").when(w.endswith("s"), "NNS").when(w.endswith("ly"), "RB").otherwise("NN")
-    made = F.transform(F.array_distinct(ws), lambda w: F.struct((-tf(w) * F.coalesce(F.try_element_at(m, w), F.lit(1.0)) * F.when(low.startswith(w), 1.2).otherwise(1.0)).alias("w"), w.alias("word"), pos(w).alias("pos")))
-    return F.transform(F.slice(F.array_sort(made), 1, most), lambda x: F.struct((-x["w"]).alias("weight"), x["word"].alias("word"), x["pos"].alias("pos")))
+    longer = lambda ws: F.sort_array(F.filter(ws, lambda w: F.length(w) > 2))
+    starts = lambda ws: F.filter(F.transform(ws, lambda w, i: F.when((i == 0) | (w != F.get(ws, i - 1)), i)), lambda i: i.isNotNull())
+
+    def weighed(low: Column, n: Column, ws: Column, at: Column) -> Column:
+        def one(i: Column, j: Column) -> Column:
+            w, tf = F.get(ws, i), (F.coalesce(F.get(at, j + 1), F.size(ws)) - i) / n
+            return F.struct((-tf * F.coalesce(F.try_element_at(m, w), F.lit(1.0)) * F.when(low.startswith(w), 1.2).otherwise(1.0)).alias("w"), w.alias("word"))
+
+        return F.slice(F.sort_array(F.transform(at, one)), 1, most)
+
+    best = let(F.lower(q), lambda low: let(F.split(low, r"\s+"), lambda all_: let(longer(all_), lambda ws: let(starts(ws), lambda at: weighed(low, F.size(all_), ws, at)))))
+    return F.transform(best, lambda x: F.struct((-x["w"]).alias("weight"), x["word"].alias("word"), pos(x["word"]).alias("pos")))
 
 
 def linguistics(q: Column) -> Column:

@@ -1,5 +1,9 @@
 """Storage, queue, text functions, planning, streaming and driver-side helpers."""
 
+import re
+import time
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -414,6 +418,20 @@ def test_providers_and_settings(spark):
     assert one.h == format(abs(h), "x")
 
 
+def test_planning_of_long_queries(spark):
+    """Keywords and entities of a text of 20 000 words, by plain Python and in seconds: no word reads the whole text again."""
+    ws = [f"word{i % 7001}" if i % 10 else str(i) for i in range(20_000)]
+    q = " ".join(ws)
+    c = F.col("q")
+    began = time.monotonic()
+    r = spark.createDataFrame([(q,)], "q string").select(queryplan.keywords(c).alias("k"), queryplan.entities(c).alias("e"), queryplan.count_entities(c).alias("n"), queryplan.expansion(c)["confidence"].alias("x")).first()
+    assert time.monotonic() - began < 30
+    counts = Counter(w for w in ws if len(w) > 2)
+    want = sorted((-n / len(ws) * (1.2 if q.startswith(w) else 1.0), w) for w, n in counts.items())[:10]
+    assert [(-k.weight, k.word) for k in r.k] == want
+    assert [(e.text, e.start, e.end) for e in r.e] == [(m[0], m.start(), m.end()) for m in re.finditer(r"\b\d+(?:\.\d+)?\b", q)] and r.n == len(r.e) == 2000
+
+
 def test_hash_embedding_values(spark):
     """Each token adds its sign to its slot; then length 1."""
     words = "the quick brown fox the end".split()
