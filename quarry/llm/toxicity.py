@@ -7,10 +7,10 @@ which replaces the stretch. The lattice of any other word has one path, the word
 is scored is the restored text and nothing else: by the words that labelled toxic texts favour
 once they are restored, through a logistic fit.
 
-The character model, the words and the fit come from a bounded, hash-chosen sample of the
-labelled rows (``max_docs`` of each label), restored and counted in Spark; their trigrams and all
-words of theirs that pass the test are kept, so the sample bounds the model. Scoring is an
-Arrow UDF over whole texts, with no shuffle.
+The character model, the words and the fit come from all labelled rows, restored and counted in
+Spark. All their trigrams, which grow with the alphabets, and all words that pass the test pass the
+driver. Evidence is an Arrow UDF over whole texts, with no shuffle; a registered run computes it
+once a document, writes it, and fits on what the labelled ones have.
 
 Defined cases: a null or empty text has no words and gets the score of such texts; a
 document with several labels trains with each; labels without a document, or null, are
@@ -24,7 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +36,8 @@ from .common import settle
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "h", "€": "e"}
 #: Tokens and readings that a task remembers, and how long they may be; others are read anew.
 MEMORY, KEPT = 200_000, 100
+#: Labels that are broadcast at once.
+BROADCAST = 2_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 #: Where a disguise may be: a letter beside a symbol or digit, or three times.
 _HARD = re.compile(r"[^\W\d_][\d@$!|+(*#€]|[\d@$!|+(*#€][^\W\d_]|([^\W\d_])\1\1")
@@ -128,6 +130,7 @@ class Restorer:
     def __init__(self, model: CharModel, terms: Iterable[str] = ()):
         self.model, self.terms = model, frozenset(terms)
         self.kept: dict[str, frozenset[str]] = {}
+        self.kept_words: dict[str, tuple[str, ...]] = {}
         self._kept_read = lru_cache(MEMORY)(self._read)
 
     def _read(self, s: str, spaced: bool) -> str:
@@ -165,6 +168,20 @@ class Restorer:
                 out |= got
         return out
 
+    def words(self, text: str) -> set[str]:
+        """The words of the restored text."""
+        out: set[str] = set()
+        for token in set(self.joined(text).split()):
+            got = self.kept_words.get(token)
+            if got is None:
+                got = tuple(words(self.token(token)))
+                if len(token) <= KEPT:
+                    if len(self.kept_words) >= MEMORY:
+                        self.kept_words.clear()
+                    self.kept_words[token] = got
+            out.update(got)
+        return out
+
     def joined(self, text: str) -> str:
         """text in lower case with the words that are spelt with separators read."""
         return _replaced(text.lower(), self.spaced)
@@ -209,20 +226,20 @@ def grams(word: str) -> list[str]:
 
 def _words(model: CharModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """label, text -> word, label, n: texts that hold the word once restored."""
+        """label, text -> word, n1, n0: texts of each label that hold the word once restored."""
         restorer = Restorer(model)
         for b in batches:
-            got: Counter = Counter()
+            got: tuple[Counter, Counter] = Counter(), Counter()
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got.update((w, label) for w in words(restorer.restore(text)))
-            keys = list(zip(*((w, y, n) for (w, y), n in got.items()))) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(keys, (pa.string(), pa.int32(), pa.int64()))], ["word", "label", "n"])
+                got[label].update(restorer.words(text))
+            keys = list(got[0].keys() | got[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([got[y][w] for w in keys], pa.int64()) for y in (1, 0))], ["word", "n1", "n0"])
 
     return run
 
 
 class Model:
-    def __init__(self, chars: CharModel, terms: dict[str, float], a: float, b: float):
+    def __init__(self, chars: CharModel, terms: dict[str, float] | None, a: float, b: float):
         self.chars, self.terms, self.a, self.b = chars, terms, a, b
 
     def evidence(self, restorer: Restorer, text: str | None) -> float:
@@ -256,43 +273,61 @@ def _fit(bins: list[tuple[float, float, float]]) -> tuple[float, float]:
     return a, b
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, seed: int = 3) -> Model:
-    """labels: doc_id and toxic, already without the held-out ones."""
-    spark = docs.sparkSession
-    y = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("label"))
-    sizes = {r.label: r["count"] for r in y.groupBy("label").count().collect()}
+def _usable(labels: DataFrame) -> DataFrame:
+    return labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("label"))
+
+
+def _labelled(docs: DataFrame, y: DataFrame) -> DataFrame:
+    """docs joined with all of y by doc_id: y is broadcast in sets, texts are not shuffled."""
+    n = -(-y.count() // BROADCAST)
+    sets = [y] if n < 2 else [y.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == i) for i in range(n)]
+    return reduce(DataFrame.union, (docs.join(F.broadcast(s), "doc_id") for s in sets))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """labels: doc_id and toxic, already without the held-out ones. All their documents train."""
+    model, texts = _learn(docs, labels)
+    return _fitted(model, texts.select("label", evidence_udf(docs.sparkSession, model)("text").alias("evidence"))) if model.terms is not None else _constant(texts)
+
+
+def _learn(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
+    """The characters and terms of a model (no terms, None, if not both labels are there), and label and text of what trains."""
+    texts = settle(_labelled(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), _usable(labels)).select("label", "text"), "toxic-labelled")
+    sizes = {r.label: float(r["count"]) for r in texts.groupBy("label").count().collect()}
     if len(sizes) < 2:
-        p = float(next(iter(sizes), 0))
-        return Model(CharModel({}), {}, 20.0 if p else -20.0, 0.0)
-    unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) * F.lit(2.0**-53)
-    share = {k: min(1.0, max_docs / n) for k, n in sizes.items()}
-    chosen = y.where(unit < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
-    # about 2 * max_docs pairs of numbers: bounded by the parameter. Their texts are read once and written
-    sample = settle(docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text"), "toxic-sample")
-    n1, n0 = max(1.0, sizes[1] * share[1]), max(1.0, sizes[0] * share[0])
-    tri = {r.gram: float(r.n) for r in sample.select("text").mapInArrow(_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").collect()}
+        return Model(CharModel({}), None, 0.0, 0.0), texts
+    n1, n0 = sizes[1], sizes[0]
+    tri = {r.gram: float(r.n) for r in texts.select("text").mapInArrow(_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").collect()}
     p1, p0 = (F.col("n1") + 0.5) / (n1 + 1), (F.col("n0") + 0.5) / (n0 + 1)
     odds = F.log(p1) - F.log(p0)
     # log-likelihood ratio of the word's split between the labels: sound for rare words too
     n, total = F.col("n1") + F.col("n0"), n1 + n0
     g = 2 * (F.col("n1") * F.ln(F.col("n1") * total / (n * n1)) + F.when(F.col("n0") > 0, F.col("n0") * F.ln(F.col("n0") * total / (n * n0))).otherwise(F.lit(0.0)))
-    seen = sample.mapInArrow(_words(CharModel(tri)), "word string, label int, n long").groupBy("word").agg(*(F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (1, 0)))
+    seen = texts.mapInArrow(_words(CharModel(tri)), "word string, n1 long, n0 long").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     terms = seen.where(F.col("n1") >= 3).select("word", odds.alias("odds"), g.alias("g")).where((F.col("g") > 15) & (F.col("odds") > 0.7)).orderBy(F.desc("g"), "word").collect()
     lift = 0.002 * sum(tri.values()) / max(1, len(terms))  # words that labels favour are likelier behind a disguise
     for r in terms:
         for x in grams(r.word):
             tri[x] = tri.get(x, 0.0) + lift
-    model = Model(CharModel(tri), {r.word: float(min(r.odds, 6.0)) for r in terms}, 0.0, 1.0)
-    x = sample.select("label", evidence_udf(spark, model)("text").alias("x")).groupBy("label", F.round("x", 1).alias("x")).count().collect()
+    return Model(CharModel(tri), {r.word: float(min(r.odds, 6.0)) for r in terms}, 0.0, 1.0), texts
+
+
+def _constant(texts: DataFrame) -> Model:
+    """Of labels of one kind, or none."""
+    return Model(CharModel({}), {}, 20.0 if texts.where("label = 1").limit(1).count() else -20.0, 0.0)
+
+
+def _fitted(model: Model, evidence: DataFrame) -> Model:
+    """The model with its fit to evidence: a label and an evidence for each row that trains."""
     bins: dict[float, list[float]] = {}
-    for r in x:
-        bins.setdefault(r.x, [0.0, 0.0])[0 if r.label == 1 else 1] += r["count"] / share[r.label]
+    for r in evidence.groupBy("label", F.round("evidence", 1).alias("x")).count().collect():
+        bins.setdefault(r.x, [0.0, 0.0])[0 if r.label == 1 else 1] += r["count"]
     model.a, model.b = _fit([(k, *v) for k, v in sorted(bins.items())])
     return model
 
 
 def evidence_udf(spark, model: Model):
-    shared = spark.sparkContext.broadcast(model)  # bounded by train's sample
+    shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -320,8 +355,17 @@ def restore_udf(spark, model: Model):
 def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence."""
     out_of = lambda: F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    model = model or train(docs, labels.where(~out_of()))
-    x = evidence_udf(docs.sparkSession, model)(F.col("text").cast("string"))
+    rows = lambda m: docs.select("doc_id", out_of().alias("held_out"), evidence_udf(docs.sparkSession, m)(F.col("text").cast("string")).alias("evidence"))
+    if model is None:
+        labels = labels.where(~out_of())
+        model, texts = _learn(docs, labels)
+        if model.terms is None:
+            model = _constant(texts)
+            out = rows(model)
+        else:
+            out = settle(rows(model), "toxic-evidence")
+            model = _fitted(model, _labelled(out.select("doc_id", "evidence"), _usable(labels)))
+    else:
+        out = rows(model)
     s = 1 / (1 + F.exp(-(F.lit(model.a) + F.lit(model.b) * F.col("evidence"))))
-    out = docs.select("doc_id", out_of().alias("held_out"), x.alias("evidence"))
     return out.select("doc_id", "held_out", s.alias("score"), "evidence").select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")

@@ -292,6 +292,18 @@ def test_toxicity_against_brute_force(spark, sf_dir):
         assert r.score == pytest.approx(p) and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    """More rows of a label than a sample of 8000 would take: the counts are those of all, in however many broadcasts."""
+    ids = spark.range(12_030)
+    docs = ids.select(F.col("id").alias("doc_id"), F.when((F.col("id") >= 12_000) | (F.col("id") % 40 == 0), "some zorp here").otherwise("some word here").alias("text"))
+    labels = ids.select(F.col("id").alias("doc_id"), (F.col("id") >= 12_000).cast("int").alias("toxic"))
+    one = toxicity.train(docs, labels)
+    assert one.terms == {"zorp": pytest.approx(math.log(30.5 / 31) - math.log(300.5 / 12_001), abs=1e-12)}
+    monkeypatch.setattr(toxicity, "BROADCAST", 5_000)
+    two = toxicity.train(docs, labels)
+    assert (one.terms, one.a, one.b, one.chars.tri) == (two.terms, two.a, two.b, two.chars.tri)
+
+
 def test_toxicity_edges(spark, docs, no_docs, rows):
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1), (3, None), (999, 1)], "doc_id long, toxic int")
     got = toxicity.score(docs, labels)
